@@ -1,0 +1,59 @@
+"""Problem 2: the best representative of each duplicate group, field by field."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from deponent.functions.text import squeeze_name, trim_ws
+
+#: States in order of trust; anything else counts as not_reviewed.
+STATES = ("verified", "corrected", "not_reviewed", "rejected")
+#: Usable times, 2015-01-01 up to and including 2026-12-31 (UTC), in epoch ms.
+FIRST_MS, END_MS = 1_420_070_400_000, 1_798_761_600_000
+#: Fixed value: columns that locate a record in its source, besides source_field.
+LOCATION = ("artifact_version_id", "page_number", "paragraph_number", "row_number", "column_number")
+
+
+def _top(condition: Column, *order: Column) -> Column:
+    """The id of the greatest composite struct. Orders are written so that greater is better; ids,
+    of which the smaller is better, are the only text and come last, so the struct is taken as the
+    minimum of the negated ranks: one struct comparison, combined map-side."""
+    return F.min(F.when(condition, F.struct(*(o.alias(f"k{i}") for i, o in enumerate(order)), F.col("id").alias("id"))))["id"]
+
+
+def best_records(records: DataFrame) -> DataFrame:
+    """One row for each source location described by two or more record ids: the location, and
+    survivor_id, extracted_id, confidence_id.
+
+    One aggregation, no window: each attribute is the best composite struct (non-null, source
+    priority, timestamp, value) of its group, so map tasks send at most one row a group and a group
+    of any size never meets in one task unaggregated. Defined results: locations agree null-safe,
+    source_field regardless of case, white space, ``-`` and ``_`` (a null one only with null); rows
+    without id are ignored; redelivered rows count once; unusable times and confidences (null, NaN,
+    out of range) rank last; ``none`` where no record has a usable one; ties go to the smaller id;
+    an empty table gives no rows; further columns are ignored."""
+    state = F.lower(trim_ws(F.col("verification_state")))
+    rank = F.coalesce(*(F.when(state == s, F.lit(i)) for i, s in enumerate(STATES)), F.lit(2))
+    ms, conf = F.col("extracted_at_ms"), F.col("confidence")
+    time_ok = F.coalesce((ms >= FIRST_MS) & (ms < END_MS), F.lit(False))
+    conf_ok = F.coalesce((conf >= 0) & (conf <= 1), F.lit(False))
+    late = F.when(time_ok, -ms).otherwise(F.lit(1))
+    sure = F.when(conf_ok, -conf).otherwise(F.lit(1.0))
+    prepared = records.where("id is not null").select(
+        F.col("id").cast("string").alias("id"),
+        *(F.col(c) for c in LOCATION),
+        squeeze_name(F.col("source_field")).alias("source_field"),
+        rank.alias("rank"),
+        late.cast("bigint").alias("late"),
+        sure.cast("double").alias("sure"),
+    )
+    order = F.col("rank"), F.col("late"), F.col("sure")
+    best = prepared.groupBy(*LOCATION, "source_field").agg(
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        _top(F.lit(True), *order).alias("survivor_id"),
+        F.coalesce(_top(F.col("late") <= 0, F.col("late")), F.lit("none")).alias("extracted_id"),
+        F.coalesce(_top(F.col("sure") <= 0, *order), F.lit("none")).alias("confidence_id"),
+    )
+    return best.where("first_id <> last_id").drop("first_id", "last_id")
