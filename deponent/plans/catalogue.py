@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from deponent.plans import problems, problems_sql
+from deponent.plans import evidence, problems, problems_sql
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems_sql.SQL}
-FLAGSHIP = "p4_found"
+QUERIES = {**evidence.QUERIES, **problems.QUERIES}
+SQL = {**evidence.SQL, **problems_sql.SQL}
+FLAGSHIP = "q_grounded_answer"
