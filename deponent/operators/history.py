@@ -49,12 +49,12 @@ def _rising(events: DataFrame, keys: list[str], chunked: bool) -> DataFrame:
         events = _carried(events, keys, F.max("version"), F.max("_s").over(by_chunk.rowsBetween(W.unboundedPreceding, -1)), "_top")
         before = F.greatest(before, F.col("_top"))
     rising = events.withColumn("_before", before).where("_before is null or version > _before").select(*parts, "at", "version", "hash")
-    last = F.lag("hash").over(w)
+    last = F.lag(F.struct("hash")).over(w)
     if chunked:
         rising = materialize(rising, "history-rising")
-        rising = _carried(rising, keys, F.max_by("hash", "at"), F.lag("_s").over(by_chunk), "_hash")
+        rising = _carried(rising, keys, F.max_by(F.struct("hash"), "at"), F.lag("_s").over(by_chunk), "_hash")
         last = F.when(F.row_number().over(w) == 1, F.col("_hash")).otherwise(last)
-    return rising.withColumn("_last", last).withColumn("opens", F.col("_last").isNull() | (F.col("_last") != F.col("hash"))).select(*parts, "at", "version", "hash", "opens")
+    return rising.withColumn("_last", last).withColumn("opens", F.col("_last").isNull() | ~F.col("_last.hash").eqNullSafe(F.col("hash"))).select(*parts, "at", "version", "hash", "opens")
 
 
 def _closed(rising: DataFrame, keys: list[str], chunked: bool) -> DataFrame:
@@ -75,7 +75,7 @@ class History:
     closed with the time of the next and new versions are inserted open; other keys pass unchanged.
     Merging batch by batch and merging all at once give the same state. Defined results: updates with
     a null key, time or version are ignored; repeated updates change nothing; a null hash is a value
-    of its own; at equal times the higher version wins; of one version's rows the earliest (then the
+    of its own (attribute_hash takes a null for an empty text); at equal times the higher version wins; of one version's rows the earliest (then the
     smallest tie) gives the hash; an empty table gives no periods. Keys with more than ``hot_events``
     events are range-partitioned by time and scanned chunk by chunk with carried summaries, the rest
     in one window; both give the same rows."""

@@ -61,8 +61,10 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         cells: list[list[str] | None] = []
         faults: list[str | None] = []
-        for raw in batch.column("raw_line").to_pylist():
+        for number, raw in zip(batch.column("row_number").to_pylist(), batch.column("raw_line").to_pylist()):
             got, fault = None, None
+            if number == 0:
+                raw = raw.removeprefix("\ufeff")
             try:
                 records = list(assemble_records(raw.splitlines(keepends=True) if "\n" in raw else [raw]))
                 if len(records) != 1:
@@ -112,7 +114,7 @@ def checked_records(lines: DataFrame, *, file_col: str = "artifact_version_id")
         .where("cells is not null and file_id is not null")
         .groupBy("file_id")
         .agg(F.min_by("cells", "line_id").alias("head"))
-        .select("file_id", F.transform("head", lambda h: squeeze_name(F.regexp_replace(h, "﻿", ""))).alias("names"))
+        .select("file_id", F.transform("head", squeeze_name).alias("names"))
         .select(
             "file_id",
             F.size("names").alias("width"),

@@ -4,7 +4,7 @@ _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 _P1_CHECKED = r"""
 WITH recs AS (
-  SELECT DISTINCT line_id, artifact_version_id, row_number, regexp_replace(raw_line, '[\r\n]+$', '') AS rec
+  SELECT DISTINCT line_id, artifact_version_id, row_number, ltrim(regexp_replace(raw_line, '[\r\n]+$', ''), CASE WHEN row_number = 0 THEN chr(65279) ELSE '' END) AS rec
   FROM uneven WHERE regexp_replace(raw_line, '\s+', '', 'g') <> ''
 ), cut AS (
   SELECT *, regexp_full_match(rec, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*', 's') AS quoted_well,
