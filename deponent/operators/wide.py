@@ -13,6 +13,8 @@ TAKES = {"text": ("text",), "boolean": ("boolean",), "date": ("date",), "integer
 MAX_ATTRIBUTES = 5_000
 
 _ENTITY = ["case_id", "subject_key"]
+_VALUE = "struct<knowledge string, value struct<type string, value variant>>"
+_PARTS = "struct<coefficient bigint, scale int, year int, month int, day int, amount struct<coefficient bigint, scale int>>"
 
 
 def attribute_list(types: DataFrame) -> list[tuple[str, str]]:
@@ -27,7 +29,9 @@ def attribute_list(types: DataFrame) -> list[tuple[str, str]]:
 def _plain_decimal(c: Column) -> Column:
     """A decimal(38,18) as plain text without trailing zeros, never in scientific notation."""
     whole = F.floor(F.abs(c)).cast("decimal(20,0)")
-    frac = F.rtrim(F.lpad(((F.abs(c) - whole) * F.lit(10**18).cast("decimal(20,0)")).cast("decimal(18,0)").cast("string"), 18, "0"), F.lit("0"))
+    # 1 is added so that the text of the fraction, a decimal(19,18), has no exponent in any mode
+    part = (F.abs(c) % F.lit(1).cast("decimal(1,0)")).cast("decimal(19,18)") + F.lit(1).cast("decimal(1,0)")
+    frac = F.rtrim(F.substring_index(part.cast("string"), ".", -1), F.lit("0"))
     return F.concat(F.when(c < 0, "-").otherwise(""), whole.cast("string"), F.when(frac == "", "").otherwise(F.concat(F.lit("."), frac)))
 
 
@@ -45,58 +49,50 @@ def _as_text(c: Column, kind: str) -> Column:
 def latest_cells(claims: DataFrame, attributes: list[tuple[str, str]]) -> DataFrame:
     """(case_id, subject_key, position, cell): of each entity and attribute the cast text of the
     latest usable claim. Position null holds entities whose claims name no known attribute."""
-    value = F.try_parse_json(F.col("normalized_value"))
-
-    def get(path: str, t: str) -> Column:
-        return F.try_variant_get("v", path, t)
-
     squeezed = squeeze_name(F.col("predicate"))
-    spelled = {squeeze(p): (i, kind) for i, (p, kind) in enumerate(attributes)}
-    lookup = F.create_map(*(F.lit(x) for k, (i, _) in spelled.items() for x in (k, i))) if spelled else None
-    position = F.try_element_at(lookup, squeezed) if lookup is not None else F.lit(None).cast("int")
+    spelled = {squeeze(p): i for i, (p, _) in enumerate(attributes)}
+    position = F.try_element_at(F.create_map(*(F.lit(x) for pair in spelled.items() for x in pair)), squeezed) if spelled else F.lit(None).cast("int")
     kinds = F.array(*(F.lit(k) for _, k in attributes)) if attributes else F.array().cast("array<string>")
+    # in an array, so that what follows a complete object makes it broken JSON, too
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col("normalized_value"), F.lit("]")))
     read = claims.select(
         F.col("case_id").cast("string").alias("case_id"),
         hyphen_key(F.col("subject_key")).alias("subject_key"),
         position.alias("position"),
         F.col("extracted_at_ms").cast("bigint").alias("at"),
         F.col("field_id").cast("bigint").alias("field_id"),
-        F.when(position.isNotNull(), value).alias("v"),
+        F.col("normalized_value"),
     ).where("case_id is not null and subject_key is not null")
-    tagged = read.select(
-        *_ENTITY,
-        "position",
-        "at",
-        "field_id",
-        F.get(kinds, F.col("position")).alias("declared"),
-        F.when(get("$.knowledge", "string") == "known", get("$.value.type", "string")).alias("tag"),
-        "v",
+    read = read.withColumn("x", F.when(F.col("position").isNotNull(), F.try_variant_get(whole, "$[0]", _VALUE)))
+    kept = [*_ENTITY, "position", "at", "field_id"]
+    tagged = read.select(*kept, F.get(kinds, F.col("position")).alias("declared"), F.when(F.col("x.knowledge") == "known", F.col("x.value.type")).alias("tag"), F.col("x.value.value").alias("raw"))
+    parts = tagged.select(*kept, "declared", "tag", "raw", F.when(F.col("tag").isin("money", "decimal", "date"), F.try_variant_get("raw", "$", _PARTS)).alias("n"))
+    money = F.col("tag") == "money"
+    numbers = parts.select(
+        *kept,
+        "declared",
+        "tag",
+        F.when(F.col("tag").isin("text", "boolean", "integer"), F.try_variant_get("raw", "$", "string")).alias("plain"),
+        F.when(money, F.col("n.amount.coefficient")).otherwise(F.col("n.coefficient")).cast("decimal(20,0)").alias("c"),
+        F.when(money, F.col("n.amount.scale")).otherwise(F.col("n.scale")).alias("s"),
+        F.when(F.col("n.year").between(1, 9999), F.format_string("%04d-%02d-%02d", "n.year", "n.month", "n.day")).alias("day"),
     )
-    number = F.when(F.col("tag") == "money", F.struct(get("$.value.value.amount.coefficient", "bigint").alias("c"), get("$.value.value.amount.scale", "int").alias("s"))).when(
-        F.col("tag") == "decimal", F.struct(get("$.value.value.coefficient", "bigint").alias("c"), get("$.value.value.scale", "int").alias("s"))
-    )
-    digits = F.lpad(F.abs(number["c"].cast("decimal(20,0)")).cast("string"), F.greatest(F.length(F.abs(number["c"].cast("decimal(20,0)")).cast("string")), number["s"] + 1), F.lit("0"))
+    digits = numbers.withColumn("digits", F.lpad(F.abs("c").cast("string"), F.greatest(F.length(F.abs("c").cast("string")), F.col("s") + 1), F.lit("0")))
     decimal = F.when(
-        number["s"].between(0, 18) & number["c"].isNotNull(),
-        F.concat(F.when(number["c"] < 0, "-").otherwise(""), F.substring(digits, F.lit(1), F.length(digits) - number["s"]), F.lit("."), F.substring(digits, F.length(digits) - number["s"] + 1, number["s"])),
+        F.col("s").between(0, 18),
+        F.concat(F.when(F.col("c") < 0, "-").otherwise(""), F.substring("digits", F.lit(1), F.length("digits") - F.col("s")), F.lit("."), F.substring("digits", F.length("digits") - F.col("s") + 1, F.col("s"))),
     )
-    day = F.concat_ws("-", *(F.lpad(get(f"$.value.value.{p}", "int").cast("string"), n, "0") for p, n in (("year", 4), ("month", 2), ("day", 2))))
-    day = F.when(get("$.value.value.year", "int").between(1, 9999), day.try_cast("date").cast("string"))
-    whole = get("$.value.value", "bigint").cast("string")
     takes = F.coalesce(*(F.when(F.col("declared") == d, F.col("tag").isin(*tags)) for d, tags in TAKES.items()), F.lit(False))
     cell = F.when(
         takes,
-        F.when(F.col("tag") == "text", trim_ws(get("$.value.value", "string")))
-        .when(F.col("tag") == "boolean", get("$.value.value", "boolean").cast("string"))
-        .when(F.col("tag") == "integer", whole)
-        .when(F.col("tag") == "date", day)
+        F.when(F.col("tag") == "text", trim_ws(F.col("plain")))
+        .when(F.col("tag") == "boolean", F.when(F.col("plain").isin("true", "false"), F.col("plain")))
+        .when(F.col("tag") == "integer", F.col("plain").try_cast("bigint").cast("string"))
+        .when(F.col("tag") == "date", F.col("day").try_cast("date").cast("string"))
         .otherwise(decimal),
     )
-    return (
-        tagged.select(*_ENTITY, "position", "at", "field_id", cell.alias("cell"))
-        .groupBy(*_ENTITY, "position")
-        .agg(F.max(F.when(F.col("cell").isNotNull(), F.struct("at", "field_id", "cell")))["cell"].alias("cell"))
-    )
+    usable = digits.select(*kept, cell.alias("cell"))
+    return usable.groupBy(*_ENTITY, "position").agg(F.max(F.when(F.col("cell").isNotNull(), F.struct("at", "field_id", "cell")))["cell"].alias("cell"))
 
 
 def squeeze(name: str) -> str:
