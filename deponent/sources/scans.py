@@ -64,7 +64,12 @@ def scan_json(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts), and artifacts that aren't one."""
     parsed = texts.select("artifact_id", F.from_json("text", "map<string,variant>", {"mode": "PERMISSIVE"}).alias("m"), F.try_parse_json("text").alias("whole"))
     ok = F.coalesce(F.col("m").isNotNull() & (F.schema_of_variant("whole").startswith("OBJECT") | F.col("whole").isNull()), F.lit(False))
-    pairs = parsed.where(ok).select("artifact_id", F.explode("m").alias("key", "v")).withColumn("shape", F.schema_of_variant("v"))
+    # a repeated key makes the strict parse fail; then keys are sorted and the last of each is kept
+    at = F.array_sort(F.transform(F.map_keys("m"), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    last = F.filter("at", lambda x, j: ~F.coalesce(F.get("at", j + 1)["k"] == x["k"], F.lit(False)))
+    entries = F.when(F.col("whole").isNotNull(), F.map_entries("m")).otherwise(F.transform(last, lambda x: F.struct(x["k"].alias("key"), F.get(F.map_values("m"), x["i"]).alias("value"))))
+    listed = parsed.where(ok).withColumn("at", F.when(F.col("whole").isNull(), at)).select("artifact_id", F.explode(entries).alias("e"))
+    pairs = listed.select("artifact_id", "e.key", F.col("e.value").alias("v")).withColumn("shape", F.schema_of_variant("v"))
     scalar = pairs.where(~F.coalesce(F.col("shape").rlike("^(OBJECT|ARRAY)"), F.lit(False)))
     none_i, none_l = F.lit(None).cast("int"), F.lit(None).cast("bigint")
     fields = scalar.select(

@@ -1,0 +1,91 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from deponent.functions import values as V
+from tests.conftest import rows
+
+
+def dec(c, s):
+    return {"coefficient": c, "scale": s}
+
+
+LADDER = [
+    ("null", "unknown", None),
+    (" UNKNOWN\t", "unknown", None),
+    ("true", "boolean", True),
+    ("FALSE", "boolean", False),
+    ("2026-08-13", "date", {"year": 2026, "month": 8, "day": 13}),
+    ("2026-02-29", "text", "2026-02-29"),
+    ("2026-2-9", "text", "2026-2-9"),
+    ("0000-01-01", "text", "0000-01-01"),
+    ("$1,427.50", "money", {"amount": dec(142750, 2), "currency": "USD"}),
+    ("$-5.00", "money", {"amount": dec(-500, 2), "currency": "USD"}),
+    ("-$5.00", "text", "-$5.00"),
+    ("$5", "error", None),
+    ("$abc", "error", None),
+    ("-42", "integer", -42),
+    ("+007", "integer", 7),
+    ("9223372036854775808", "text", "9223372036854775808"),
+    ("-1.25", "decimal", dec(-125, 2)),
+    ("1.0", "decimal", dec(10, 1)),
+    ("-0.05", "decimal", dec(-5, 2)),
+    (".1", "text", ".1"),
+    ("1.", "text", "1."),
+    ("1.x", "text", "1.x"),
+    ("--1.0", "text", "--1.0"),
+    ("1.1234567890123456789", "error", None),
+    ("99999999999999999999.5", "error", None),
+    ("  padded \"text\"", "text", "  padded \"text\""),
+    ("ÄÖ\n", "text", "ÄÖ\n"),
+    ("", "text", ""),
+]
+
+
+def test_ladder(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(LADDER)] + [(99, None)], "i int, t string")
+    got = {r["i"]: r for r in df.select("i", V.kind(F.col("t")).alias("k"), V.normalized(F.col("t")).alias("j")).collect()}
+    for i, (text, kind, value) in enumerate(LADDER):
+        want = {"knowledge": "known", "value": {"type": kind, "value": value}} if kind not in ("unknown", "error") else {"knowledge": "unknown"}
+        assert got[i]["k"] == kind, text
+        assert got[i]["j"] == (None if kind == "error" else json.dumps(want, separators=(",", ":"), ensure_ascii=False)), text
+    assert got[99]["k"] is None and got[99]["j"] is None
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("day, n, want", [("2028-02-28", 1, "2028-02-29"), ("2028-02-28", 2, "2028-03-01"), ("9999-12-31", 1, None), ("0001-01-01", -1, None), ("2024-01-01", 2_000_000_000, None), (None, 1, None)])
+def test_add_days(spark, day, n, want):
+    assert one(spark, V.add_days(F.lit(day).cast("date"), F.lit(n)).cast("string")) == want
+
+
+def test_ids_and_names(spark):
+    assert one(spark, V.deterministic_id("claim", F.lit("a"), F.lit("b"))) == one(spark, V.deterministic_id("claim", F.lit("a"), F.lit("b")))
+    assert one(spark, V.deterministic_id("claim", F.lit("a"), F.lit("b"))) != one(spark, V.deterministic_id("claim", F.lit("ab"), F.lit("")))
+    assert [one(spark, V.valid_record_id(F.lit(x))) for x in ("ab", "abc", "a b", "é12", None)] == [False, True, False, False, False]
+    assert [one(spark, V.valid_filename(F.lit(x))) for x in ("a.txt", "a/b", "a\\b", "..", ".", "", None)] == [True, *[False] * 6]
+    assert [one(spark, V.valid_text(F.lit(x), 1, 3)) for x in (" ab ", "abcd", "a\tb", "  ", None)] == [True, False, False, False, False]
+    sha = "ab" + "0" * 62
+    assert one(spark, V.storage_key(F.lit(sha))) == f"blobs/ab/{sha}"
+    assert [one(spark, V.valid_storage_key(F.lit(x))) for x in (f"blobs/ab/{sha}", f"blobs/ac/{sha}", f"../ab/{sha}", None)] == [True, False, False, False]
+    assert [one(spark, V.classify(F.lit(x))) for x in ("text/plain; charset=x", " text/csv ", "application/csv", "Text/Plain", "application/pdf", None)] == ["text", "csv", "csv", None, None, None]
+    assert [one(spark, V.media_type_of(F.lit(x))) for x in ("a/b.TXT", "x.jpeg", "noext", "a.b/c", None)] == ["text/plain", "image/jpeg", *["application/octet-stream"] * 3]
+
+
+def test_knowledge(spark):
+    data = [('{"knowledge":"known"}', "known"), ('{"knowledge":"unknown"}', "unknown"), ('{"knowledge":"sure"}', None), ('{"knowledge":"known"', None), ("", None), (None, None)]
+    df = spark.createDataFrame(data, "j string, want string")
+    assert rows(df.where(~V.knowledge(F.col("j")).eqNullSafe(F.col("want")))) == []
+
+
+def test_temporal_values(spark):
+    schema = "t struct<kind string, date date, year int, month int, earliest date, latest date, inclusive boolean, original string>"
+    import datetime as dt
+
+    a, b = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
+    data = [(("exact_date", a, None, None, None, None, None, "x"),), (("month", None, 2024, 13, None, None, None, "x"),), (("range", None, None, None, b, a, True, "x"),), (("range", None, None, None, a, b, True, "x"),), (("year", None, 0, None, None, None, None, "x"),), (("age", None, None, None, None, None, None, "x"),), (("before", None, None, None, None, None, None, "x"),)]
+    got = [r[0] for r in spark.createDataFrame(data, schema).select(V.temporal_errors(F.col("t"))).collect()]
+    assert got == [[], ["month"], ["range"], [], ["year"], ["kind"], ["date"]]
