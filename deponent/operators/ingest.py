@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deponent.functions.values import sha256_hex, storage_key, valid_filename, valid_storage_key, valid_text
+from deponent.functions.values import deterministic_id, sha256_hex, storage_key, valid_filename, valid_storage_key, valid_text
 from deponent.operators.prefix import prefix_sum
 
 
+def create_cases(requests: DataFrame, at_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Requests (title, actor) as open cases with ids made from their content, and the refused ones:
+    title and actor take 1 to 300 characters without control characters."""
+    ok = valid_text(F.col("title"), 1, 300) & valid_text(F.col("actor"), 1, 300)
+    at = F.lit(at_ms).cast("bigint")
+    made = requests.where(ok).select(deterministic_id("case", F.col("title"), F.col("actor"), at).alias("id"), "title", F.lit("open").alias("status"), at.alias("created_at_ms"), F.lit("{}").alias("metadata_json"))
+    return made, requests.where(~ok).withColumn("reason", F.lit("invalid_input"))
+
+
 def dispositions(deliveries: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Disposition and version number of each delivery (case_id, source_key, content_sha256, seq).
 

@@ -78,7 +78,7 @@ def normalise(rows: DataFrame, dictionary: str | None = None) -> DataFrame:
         entries = materialize(entries, "instant-entries")
     total = entries.agg(F.sum("n")).first()[0] or 0
     good = entries.where("normalized is not null")
-    hot = good.where(F.col("n") > total * HOT).select(*_KEY, F.col("normalized").alias("hot_value")).limit(int(1 / HOT))
+    hot = good.where(F.col("n") > total * HOT).select(*_KEY, F.col("normalized").alias("hot_value"))
     cold = good.where(F.col("n") <= total * HOT).select(F.col("raw").alias("look_up"), "zone", "date_order", F.col("normalized").alias("cold_value"))
     spread = kept.join(F.broadcast(hot), _KEY, "left").withColumn("look_up", F.when(F.col("hot_value").isNull(), F.col("raw")).otherwise(F.concat(F.lit("\0"), "record_key")))
     found = spread.join(cold, ["look_up", "zone", "date_order"], "left").withColumn("normalized", F.coalesce("hot_value", "cold_value"))

@@ -27,6 +27,7 @@ MISSING = ("", "null", "unknown")
 
 _CELL = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 _WELL_QUOTED = re.compile(rf"{_CELL}(?:,{_CELL})*+\Z")
+_CELLS = re.compile(rf"({_CELL})(?:,|\Z)")
 
 
 def assemble_records(lines: Iterable[str]) -> Iterator[str]:
@@ -46,15 +47,39 @@ def assemble_records(lines: Iterable[str]) -> Iterator[str]:
         yield "".join(held)
 
 
-def parse_record(record: str, separator: str = ",") -> list[str]:
+def parse_record(record: str) -> list[str]:
     """Cells of one record, by the strict csv reader. Raises csv.Error on an open quote or on text
-    beside a quoted cell, also before its opening quote, which the reader itself lets pass."""
-    cells = next(csv.reader([record], delimiter=separator, strict=True), [])
-    if '"' in record and not _WELL_QUOTED.match(record):
+    beside a quoted cell, also before its opening quote, which the reader itself lets pass. A line
+    break in a cell that isn't quoted, which the reader refuses, is a sign like any other."""
+    quoted_well = '"' not in record or _WELL_QUOTED.match(record)
+    try:
+        cells = next(csv.reader([record], strict=True), [])
+    except csv.Error:
+        if not quoted_well:
+            raise
+        cells = [c[1:-1].replace('""', '"') if c.startswith('"') else c for c in (m[1] for m in _CELLS.finditer(record + ",") if m.end() > m.start())]
+    if not quoted_well:
         raise csv.Error("text before an opening quote")
     return cells
 
 
+def parse_header(record: str) -> list[str]:
+    """Cells of a header, which isn't judged: what the strict reader refuses is read leniently."""
+    record = record.removeprefix("\ufeff")
+    try:
+        return parse_record(record)
+    except csv.Error:
+        return next(csv.reader([record.replace("\r", " ").replace("\n", " ")], skipinitialspace=True), [])
+
+
+def _record(raw: str) -> str:
+    """The record that a raw line holds. Assembled by its quotes it is one; breaks outside quotes, of
+    which there should be none, don't cut it."""
+    lines = re.split(r"(?<=\n)", raw) if "\n" in raw else [raw]
+    records = list(assemble_records(line for line in lines if line))
+    return records[0] if len(records) == 1 else raw.rstrip("\r\n")
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(sys.maxsize)
     kind = pa.list_(pa.string())
@@ -63,13 +88,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         faults: list[str | None] = []
         for number, raw in zip(batch.column("row_number").to_pylist(), batch.column("raw_line").to_pylist()):
             got, fault = None, None
-            if number == 0:
-                raw = raw.removeprefix("\ufeff")
             try:
-                records = list(assemble_records(raw.splitlines(keepends=True) if "\n" in raw else [raw]))
-                if len(records) != 1:
-                    raise csv.Error("a line break outside quotes")
-                got = parse_record(records[0])
+                got = parse_header(_record(raw)) if number == 0 else parse_record(_record(raw))
             except csv.Error:
                 fault = "quoting"
             cells.append(got)
@@ -153,8 +173,7 @@ def checked_records(lines: DataFrame, *, file_col: str = "artifact_version_id")
 def split_records(lines: DataFrame, *, file_col: str = "artifact_version_id") -> Split:
     """Separate loaded rows from failed records.
 
-    Reasons, first that holds: ``quoting`` (open quote, text beside a quoted cell, or a line break
-    outside quotes), ``columns`` (another number of cells than the file's header, or no readable
+    Reasons, first that holds: ``quoting`` (open quote or text beside a quoted cell), ``columns`` (another number of cells than the file's header, or no readable
     header), ``value`` (a typed field can't be built). Defined results: header rows (row_number 0)
     and blank or null raw lines are neither loaded nor failed; a null row_number is a data record; a
     null or headerless file fails as ``columns``; of several headers of a file that of the smallest

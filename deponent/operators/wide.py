@@ -129,6 +129,11 @@ def _project(gathered: DataFrame, attributes: list[tuple[str, str]]) -> DataFram
     return gathered.select(*_ENTITY, *(_typed(F.col("cells")[i], kind).alias(p) for i, (p, kind) in enumerate(attributes)))
 
 
+def as_text(wide: DataFrame, types: DataFrame) -> DataFrame:
+    """A wide table with every cell as text: plain decimals, days as YYYY-MM-DD, true or false."""
+    return wide.select(*_ENTITY, *(_as_text(F.col(f"`{p}`"), kind).alias(p) for p, kind in attribute_list(types)))
+
+
 def melted(wide: DataFrame, types: DataFrame) -> DataFrame:
     """The non-null cells of a wide table as (case_id, subject_key, predicate, value_text)."""
     attributes = attribute_list(types)

@@ -350,14 +350,15 @@ def _questions(c: DataFrame) -> DataFrame:
 
 def q_grounded_answer(spark: SparkSession, d: str) -> DataFrame:
     c = _claims(spark, d)
-    return A.answers(_questions(c), state.current_claims(c, _state_log(c)))
+    out = A.answers(_questions(c), state.current_claims(c, _state_log(c)))
+    return out.fillna(-1, ["first_claim_id", "last_claim_id"])
 
 
 _ANSWER = f"""
 WITH {_SQL_CLAIMS}, q AS (SELECT case_id, concat(case_id, '/', question) AS question_id, lower(question) AS question FROM (SELECT DISTINCT case_id FROM claims), (SELECT unnest(['What is the monthly_amount?', 'Count of active items?', 'Which invented_color?', 'NOTES please']) AS question)),
 m AS (SELECT question_id, count(*) AS n_claims, count(DISTINCT CASE WHEN knowledge = 'known' THEN normalized_value END) AS n_values, bool_and(state = 'verified') AS sure, min(claim_id) AS first_claim_id, max(claim_id) AS last_claim_id
   FROM q JOIN claims USING (case_id) WHERE contains(question, lower(predicate)) GROUP BY 1)
-SELECT question_id, case_id, CASE WHEN n_claims IS NULL THEN 'unknown' WHEN n_values > 1 THEN 'conflicting' WHEN sure THEN 'established' ELSE 'claimed' END AS mode, coalesce(n_claims, 0) AS n_claims, coalesce(n_values, 0) AS n_values, first_claim_id, last_claim_id
+SELECT question_id, case_id, CASE WHEN n_claims IS NULL THEN 'unknown' WHEN n_values > 1 THEN 'conflicting' WHEN sure THEN 'established' ELSE 'claimed' END AS mode, coalesce(n_claims, 0) AS n_claims, coalesce(n_values, 0) AS n_values, coalesce(first_claim_id, -1) AS first_claim_id, coalesce(last_claim_id, -1) AS last_claim_id
 FROM q LEFT JOIN m USING (question_id)
 """
 

@@ -10,7 +10,7 @@ from deponent.operators.history import History, version_updates
 from deponent.operators.instants import connector_of_versions, normalise
 from deponent.operators.rejects import split_records
 from deponent.operators.survivorship import best_records
-from deponent.operators.wide import melted, wide_table
+from deponent.operators.wide import as_text, melted, wide_table
 from deponent.session import materialize
 from deponent.sources.tables import table
 
@@ -49,8 +49,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
-    wide = wide_table(table(spark, d, "extracted_fields"), table(spark, d, "predicate_types"))
-    return wide.select(*(F.col(c).cast("string").alias(c) if t in ("date", "boolean") or t.startswith("decimal") else F.col(c) for c, t in wide.dtypes))
+    """The wide table itself, its typed cells as text."""
+    types = table(spark, d, "predicate_types")
+    return as_text(wide_table(table(spark, d, "extracted_fields"), types), types)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

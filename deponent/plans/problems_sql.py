@@ -88,6 +88,18 @@ WITH claims AS (
 )
 """
 
+#: The attributes of predicate_types, a fixed table.
+_ATTRIBUTES = (
+    "active area_sqm category contact_channel count deposit_amount due_date effective_from floor_number interest_rate language late_fee "
+    "monthly_amount name notes page_total priority received_at received_date reference_code renewable response_required sent_at signed_on"
+).split()
+_P4_WIDE = (
+    _P4_CELLS
+    + "SELECT e.case_id, e.subject_key, "
+    + ", ".join(f"max(CASE WHEN predicate = '{p}' THEN value_text END) AS \"{p}\"" for p in _ATTRIBUTES)
+    + " FROM (SELECT DISTINCT case_id, subject_key FROM claims) e LEFT JOIN cells USING (case_id, subject_key) GROUP BY e.case_id, e.subject_key"
+)
+
 _P5 = """
 WITH versions AS (
   SELECT a.case_id, a.source_key, v.version_number AS v, min(v.ingested_at_ms) AS t, arg_min(coalesce(v.content_sha256, ''), (v.ingested_at_ms, v.id)) AS h
@@ -108,5 +120,6 @@ SQL = {
     + "CASE WHEN response IN ('true', 'false') THEN response END AS response_required FROM checked WHERE reason IS NULL",
     "p2_found": _P2,
     "p4_found": _P4_CELLS + "SELECT * FROM cells",
+    "p4_wide": _P4_WIDE,
     "p5_found": _P5,
 }

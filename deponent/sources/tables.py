@@ -3,8 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """``<directory>/<name>.parquet``, a file or a folder of part files."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A tab-separated table of exactly these columns: its rows, and the lines that are no row of it
+    (another number of cells, an empty or padded cell). Raises if the header isn't ``columns``."""
+    lines = spark.read.text(path).where("value <> ''")
+    head = lines.limit(1).collect()
+    if not head or head[0]["value"].split("\t") != columns:
+        raise ValueError(f"header of {path} isn't {columns}")
+    cells = lines.where(F.col("value") != head[0]["value"]).select("value", F.split("value", "\t").alias("c"))
+    ok = (F.size("c") == len(columns)) & F.forall("c", lambda x: (x != "") & (x == F.trim(x)))
+    return cells.where(ok).select(*(F.col("c")[i].alias(n) for i, n in enumerate(columns))), cells.where(~ok).select("value")

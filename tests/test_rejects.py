@@ -28,6 +28,11 @@ def test_structure_faults_raise(bad):
         parse_record(bad)
 
 
+def test_breaks_outside_quotes_are_signs():
+    assert parse_record('a\nb,"c ""d""",\r,') == ["a\nb", 'c "d"', "\r", ""]
+    assert parse_record("a\nb") == ["a\nb"]
+
+
 def test_two_quotes_are_one():
     assert parse_record('"a ""b"" c","",d') == ['a "b" c', "", "d"]
 
@@ -75,11 +80,15 @@ def test_edges(spark):
         (8, "f", 4, "bad"),
         (8, "f", 4, "bad"),
         (9, "f", 5, "Ann,1,,\nBen,2,,"),
+        (10, "f", 6, "Ann\nB\u2028,1,,\r"),
+        (11, "f", 7, 'A\rnn,1,"",'),
+        (12, "g", 0, '"name", "amount"'),
+        (13, "g", 1, '"Ann, A",5'),
     ]
     df = spark.createDataFrame(data, SCHEMA).withColumns({"reason": F.lit("x"), "cells": F.lit(1), "name": F.lit(2)})
     out = split_records(df)
-    assert rows(out.failed, "line_id", "reason") == [(4, "columns"), (5, "columns"), (8, "columns"), (9, "quoting")]
-    assert rows(out.loaded, "line_id") == [(6,), (7,)]
+    assert rows(out.failed, "line_id", "reason") == [(4, "columns"), (5, "columns"), (8, "columns"), (9, "columns")]
+    assert rows(out.loaded, "line_id") == [(10,), (11,), (13,), (6,), (7,)]
     assert out.loaded.where("line_id = 6").first()["name"] == long
 
 
