@@ -92,7 +92,7 @@ def _scalars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return _scalars(spark, d).select("raw", V.kind(F.col("raw")).alias("kind"), V.normalized(F.col("raw")).alias("normalized_value"))
+    return V.with_value(_scalars(spark, d), "raw")
 
 
 _NORMALIZE = r"""

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deponent.functions.text import trim_ws
-from deponent.functions.values import classify, kind, media_type_of, normalized, sha256_hex, valid_text
+from deponent.functions.values import classify, media_type_of, sha256_hex, valid_text, with_value
 
 FIELD_COLUMNS = ["artifact_id", "subject_key", "predicate", "original_value", "source_field", "paragraph_number", "text_span_start", "text_span_end", "row_number", "column_number"]
 #: Fixed value: default limit of an artifact's size.
@@ -170,7 +170,7 @@ class Extraction:
 
 def typed_fields(fields: DataFrame) -> DataFrame:
     """Fields with kind and canonical JSON of their value."""
-    return fields.withColumns({"kind": kind(F.col("original_value")), "normalized_value": normalized(F.col("original_value"))})
+    return with_value(fields, "original_value")
 
 
 #: Extractors by format; a caller may add one: texts -> (fields, failures).
