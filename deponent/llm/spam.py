@@ -28,11 +28,14 @@ LEAST_WORDS, LINK_WORDS = 12, 3
 SENTENCE_WORDS, LONG_WORDS, LONGEST_SENTENCE = 5, 9, 40
 #: Pieces of one shape that make a list.
 LIST_PIECES = 4
+#: Shapes that dominate a page together.
+FEW_SHAPES = 12
 #: Words that repetition is measured over, and the least part of them that are distinct in running
 #: words and in sentences that end as such.
 CHUNK, DISTINCT, DISTINCT_PROSE = 24, 0.5, 0.4
-#: Of running words without sentence ends, the least part that have at most SHORT_WORD letters.
-SHORT_PART, SHORT_WORD = 0.2, 3
+#: Of HEAP_WORDS and more running words without sentence ends, the least part that have at most
+#: SHORT_WORD letters.
+HEAP_WORDS, SHORT_PART, SHORT_WORD = 16, 0.2, 3
 
 _BLOCK = re.compile(r"<blockquote\b[^>]*>|\[quote\b[^\]]*\]|</blockquote\s*>|\[/quote\s*\]", re.I)
 _CODE = re.compile(r"\[code\b[^\]]*\].*?(?:\[/code\]|\Z)|```.*?(?:```|\Z)|<(pre|code)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
@@ -117,11 +120,13 @@ def _words(piece: str) -> list[str]:
 
 
 def _capitals(piece: str) -> str:
-    letters = [c for c in piece if c.isalpha()]
-    if not letters:
+    if piece.islower():
+        return "low"
+    if piece.isupper():
+        return "all"
+    if piece.lower() == piece.upper():
         return "none"
-    up = sum(c.isupper() for c in letters)
-    return "all" if up == len(letters) else "first" if letters[0].isupper() else "some" if up else "low"
+    return "first" if next(c for c in piece if c.isalpha()).isupper() else "some"
 
 
 class Piece(NamedTuple):
@@ -138,7 +143,7 @@ class Piece(NamedTuple):
     @property
     def heap(self) -> bool:
         """Running words almost without the short ones that join words to sentences."""
-        if self.prose or len(self.words) < LONG_WORDS or any(_WIDE.match(w) for w in self.words):
+        if self.prose or len(self.words) < HEAP_WORDS or any(_WIDE.match(w) for w in self.words):
             return False
         return sum(len(w) <= SHORT_WORD for w in self.words) < SHORT_PART * len(self.words)
 
@@ -188,8 +193,8 @@ def _repeating(found: list[Piece]) -> list[bool]:
 
 
 def spam_share(text: str | None) -> tuple[float, int]:
-    """(part of a post's own words that stand in non-sentence shapes of lists and repetitions, own
-    words)."""
+    """(part of a post's own words that its FEW_SHAPES heaviest non-sentence shapes hold, own words).
+    A shape counts as such in pieces of lists, of repetitions and of words without joining ones."""
     found = pieces(plain(drop_quoted(text))) if text else []
     total = sum(p.weight for p in found)
     repeating = _repeating(found)
@@ -199,12 +204,12 @@ def spam_share(text: str | None) -> tuple[float, int]:
             kinds[p.shape[2], p.links > 0] += max(1, p.links)
     linked = sum(n for (_, link), n in kinds.items() if link) >= LIST_PIECES
     again = Counter(tuple(p.words) for p in found if p.shape[2] != ".")
-    held = 0
+    held: Counter[tuple] = Counter()
     for p, r in zip(found, repeating):
         listed = not p.sentence and (linked if p.links else kinds[p.shape[2], False] >= LIST_PIECES)
         if r or listed or p.heap or (p.shape[2] != "." and p.words and again[tuple(p.words)] >= LIST_PIECES):
-            held += p.weight
-    return (held / total if total else 0.0), total
+            held[p.shape] += p.weight
+    return (sum(n for _, n in held.most_common(FEW_SHAPES)) / total if total else 0.0), total
 
 
 def is_spam(text: str | None) -> bool:
