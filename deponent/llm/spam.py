@@ -37,29 +37,32 @@ CHUNK, DISTINCT, DISTINCT_PROSE = 24, 0.5, 0.4
 #: SHORT_WORD letters.
 HEAP_WORDS, SHORT_PART, SHORT_WORD = 16, 0.2, 3
 
-_BLOCK = re.compile(r"<blockquote\b[^>]*>|\[quote\b[^\]]*\]|</blockquote\s*>|\[/quote\s*\]", re.I)
-_CODE = re.compile(r"\[code\b[^\]]*\].*?(?:\[/code\]|\Z)|```.*?(?:```|\Z)|<(pre|code)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_LOGGED = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|(?: {4,}|\t+)\S.*[=(){}\[\]]|\s*(?:def|class|return|import|for|while|if|else|elif|function|var|let|const|SELECT)\b.*[:;(){}=]\s*\Z|\s*[|+:\- ]+\Z")
+# Patterns take bounded or possessive runs only, so a text of any length is read in linear time.
+_BLOCK = re.compile(r"<blockquote\b[^>]{0,500}>|\[quote\b[^\]]{0,500}\]|</blockquote\s{0,9}>|\[/quote\s{0,9}\]", re.I)
+_CODE = re.compile(r"\[code\b[^\]]{0,500}\].*?(?:\[/code\]|\Z)|```.*?(?:```|\Z)|<(pre|code)\b[^>]{0,500}>.*?(?:</\1\s{0,9}>|\Z)", re.I | re.S)
+_LOGGED = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|(?: {4,}|\t+)\S.*[=(){}\[\]]|\s*(?:def|class|return|import|for|while|if|else|elif|function|var|let|const|SELECT)\b.*[:;(){}=]\s*\Z|[|+:\-\s]+\Z")
 _QUOTED = re.compile(r"\s*(?:>|&gt;)")
 _SIGNATURE = re.compile(r"\s*(?:-{2,3}|—|_{4,})\s*\Z")
-_INVISIBLE = re.compile(r"[­​-‏‪-‮⁠-⁤️﻿]")
+_INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe0f\ufeff]")
 _LINK = re.compile(
-    r"<a\b[^>]*>.*?</a\s*>|\[url\b[^\]]*\].*?\[/url\]|!?\[[^\]\n]*\]\((?:https?:|www\.)[^)\s]*\)?"
-    r"|(?:https?|hxxps?|ftp)\s?:\s?//[^\s<>\[\]\"]+|www\.[^\s<>\[\]\"]+"
-    r"|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|biz|shop|example|invalid|test|de|es|fr|ru|pt|jp)\b(?:/[^\s<>\[\]\"]*)?",
+    r"<a\b[^>]{0,2000}>.{0,2000}?</a\s{0,9}>|\[url\b[^\]]{0,2000}\].{0,2000}?\[/url\]|!?\[[^\]\n]{0,500}\]\((?:https?:|www\.)[^)\s]*+\)?"
+    r"|\b(?:https?|hxxps?|ftp)\s?:\s?//[^\s<>\[\]\"]++|\bwww\.[^\s<>\[\]\"]++",
     re.I | re.S,
 )
-_DOT = re.compile(r"\s*(?:\[\.\]|\(\.\)|[\[(](?:dot|punkt|punto|point|ponto)[\])]|(?<=[\w-])\s+dot\s+(?=[a-z]))\s*", re.I)
-_BREAK = re.compile(r"<(?:br|/p|/div|/li|/h[1-6])\b[^>]*>", re.I)
+_DOTTED = re.compile(r"(?<![\w-])[\w-]++(?:\.[\w-]++)++(?:/[^\s<>\[\]\"]*+)?")
+#: Last parts of a name with dots that make it a link.
+_DOMAINS = frozenset("com org net info biz shop online example invalid test de es fr ru pt jp it nl pl uk io co eu".split())
+_DOT = re.compile(r"\s{0,3}(?:\[\.\]|\(\.\)|[\[(](?:dot|punkt|punto|point|ponto)[\])]|(?<=[\w-])\s{1,3}dot\s{1,3}(?=[a-z]))\s{0,3}", re.I)
+_BREAK = re.compile(r"<(?:br|/p|/div|/li|/h[1-6])\b[^>]{0,500}>", re.I)
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,200}>|\[/?[a-z*]+(?:=[^\]\n]{0,100})?\]", re.I)
 _END = re.compile(r"(?<=[.!?…。！？])[)\"'»”]*(?:\s+|(?<=[。！？])|\Z)")
-_STRONG = re.compile(r"\s*(?:\|+|;|[•·★☆►▶✓✔➤→~=]+|/{1,2}(?=\s)|(?<=\s)[-–—*+](?=\s)|\t)\s*")
-_COMMA = re.compile(r"\s*[,、，]\s*")
+_STRONG = re.compile(r"\s{0,4}(?:\|+|;|[•·★☆►▶✓✔➤→~=]+|/{1,2}(?=\s)|(?<=\s)[-–—*+](?=\s)|\t)\s{0,4}")
+_COMMA = re.compile(r"\s{0,4}[,、，]\s{0,4}")
 _WORD = re.compile(r"[^\W_]+(?:['’\-@$][^\W_]+)*")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 _HASHED = re.compile(r"(?<![\w&])#[^\W\d]\S*")
 _STOPPED = re.compile(r"[.!?…。！？][)\"'»”]*\s*\Z")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 #: Stands for a link.
 LINK = "\ue000"
 #: Fixed value: digits and signs that stand for letters in disguised words.
@@ -103,7 +106,8 @@ def plain(text: str) -> str:
     and markup resolved; links stand as one sign each."""
     text = html.unescape(html.unescape(text))
     text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = _TAG.sub(" ", _LINK.sub(f" {LINK} ", _DOT.sub(".", _BREAK.sub("\n", text))))
+    text = _LINK.sub(f" {LINK} ", _DOT.sub(".", _BREAK.sub("\n", text)))
+    text = _TAG.sub(" ", _DOTTED.sub(lambda m: f" {LINK} " if m[0].partition("/")[0].rpartition(".")[2].lower() in _DOMAINS else m[0], text))
     return _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
 
 

@@ -64,6 +64,15 @@ def test_ham(text):
     assert not is_spam(text)
 
 
+@pytest.mark.parametrize("unit", [" ", "a", "a ", "a.", "<a>", "[", "[url]", "<pre ", "<blockquote ", "[quote ", "&gt;", ", ", ";\t", "www.", "#", "-", "    (", "http://", "A wrote:\n", "[code", "\n", "敷", "a-", "dot "])
+def test_long_texts_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    is_spam("x" + unit * (400_000 // len(unit)) + "x")
+    assert time.process_time() - began < 8
+
+
 def test_own_words():
     text = "[QUOTE=a]x [quote]y[/quote][/QUOTE]own\r\n&gt; z\r\n\r\nA wrote:\r\n>> w\r\nwords\r\n__________\r\nme"
     assert drop_quoted(text).split() == ["own", "words"]
