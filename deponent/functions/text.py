@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: Unicode white space in Java's regular expressions.
-_WS = r"(?U)\s"
-
-
 def trim_ws(c: Column) -> Column:
     """Strip Unicode white space at both ends (Spark's ``trim`` strips U+0020 only)."""
-    return F.regexp_replace(c, rf"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def ascii_lower(c: Column) -> Column:

@@ -51,14 +51,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"deponent-{_RUN}", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that this run wrote to the shared folder; results that read them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), f"deponent-{_RUN}"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: lineage is cut, the
     rows survive the loss of any executor, and later branches don't compute them again."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def map_partitions_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` over whole partitions; one place to change the Python boundary."""
-    return df.mapInArrow(fn, schema)

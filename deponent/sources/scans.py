@@ -41,7 +41,7 @@ def scan_text(texts: DataFrame) -> DataFrame:
     occurrence in its line. Lines without key or value are skipped."""
     lines = texts.select("artifact_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
     before = F.sum(F.octet_length("raw") + 1).over(W.partitionBy("artifact_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    placed = lines.withColumn("offset", F.coalesce(before, F.lit(0))).where(F.col("raw").contains(":")).withColumn("line", F.regexp_replace("raw", r"[\r\n]+$", ""))
+    placed = lines.withColumn("offset", F.coalesce(before, F.lit(0))).where(F.col("raw").contains(":")).withColumn("line", F.regexp_replace("raw", r"(?<![\r\n])[\r\n]++$", ""))
     cut = placed.withColumns({"key": trim_ws(F.substring_index("line", ":", 1)), "value": trim_ws(F.expr("substring(line, locate(':', line) + 1)"))}).where("key <> '' and value <> ''")
     start = F.col("offset") + F.octet_length(F.expr("left(line, locate(value, line) - 1)"))
     none = F.lit(None).cast("int")

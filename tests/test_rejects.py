@@ -7,7 +7,7 @@ from deponent.operators.rejects import assemble_records, parse_record, split_rec
 from tests.conftest import rows
 
 SCHEMA = "line_id bigint, artifact_version_id string, row_number int, raw_line string"
-HEAD = (1, "f", 0, '﻿"Name", Monthly-Amount ,RECEIVED_DATE,response_required\r')
+HEAD = (1, "f", 0, '\ufeff"Name", Monthly-Amount ,RECEIVED_DATE,response_required\r')
 
 
 def reasons(spark, *lines, head=HEAD):

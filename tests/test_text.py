@@ -1,0 +1,28 @@
+import time
+
+from pyspark.sql import functions as F
+
+from deponent.functions.text import ascii_lower, hyphen_key, squeeze_name, trim_ws
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_trim_takes_all_white_space(spark):
+    got = [one(spark, trim_ws(F.lit(x))) for x in ("\t a b  ", "", " \n", "a", None)]
+    assert got == ["a b", "", "", "a", None]
+
+
+def test_keys(spark):
+    assert [one(spark, hyphen_key(F.lit(x))) for x in (" Party:Ann_ 7\t", "A--b", None)] == ["party:ann-7", "a-b", None]
+    assert [one(spark, squeeze_name(F.lit(x))) for x in ("Received - Date ", "receivedDate", "", None)] == ["receiveddate", "receiveddate", "", None]
+    assert one(spark, ascii_lower(F.lit("AbÄ"))) == "abÄ"
+
+
+def test_long_runs_take_linear_time(spark):
+    began = time.time()
+    text = "x" + " " * 1_000_000 + "y "
+    assert one(spark, F.length(trim_ws(F.lit(text)))) == len(text) - 1
+    assert one(spark, hyphen_key(F.lit(text))) == "x-y"
+    assert time.time() - began < 20
