@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deponent.functions.text import ascii_lower
@@ -10,6 +10,42 @@ from deponent.functions.values import knowledge
 from deponent.operators.state import current_claims
 
 
+#: Statement of an answer by its mode.
+STATEMENTS = {
+    "established": "The evidence establishes a value for this predicate.",
+    "claimed": "One or more sources claim a value for this predicate.",
+    "suggested": "The available evidence suggests a value for this predicate.",
+    "conflicting": "Sources disagree about this predicate.",
+    "unknown": "The system does not have sufficient evidence to determine this.",
+}
+#: Phrases of a question that asks for what is due, and its statement.
+DUE_PHRASES = ("deadline", "what must", "need to do")
+DUE_STATEMENT = "%s is required by a satisfied rule evaluation and is due %s."
+NO_DATE = "an unresolved date"
+
+
+def statement(mode: Column) -> Column:
+    """The sentence of a mode."""
+    return F.coalesce(*(F.when(mode == m, F.lit(text)) for m, text in STATEMENTS.items()))
+
+
+def asks_what_is_due(question: Column) -> Column:
+    q = ascii_lower(question)
+    return F.coalesce(q.contains(DUE_PHRASES[0]) | q.contains(DUE_PHRASES[1]) | q.contains(DUE_PHRASES[2]), F.lit(False))
+
+
+def due_answers(questions: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Answers (question_id, case_id, mode, statement, evaluation_id) of the questions that ask for what is
+    due: the last satisfied evaluation (case_id, evaluation_id, result, title, due_date,
+    evaluated_at_ms) of the case, by time and id; unknown where it has none."""
+    asked = questions.where(asks_what_is_due(F.col("question"))).select("question_id", "case_id")
+    last = evaluations.where("result = 'satisfied'").groupBy("case_id").agg(F.max(F.struct("evaluated_at_ms", "evaluation_id", "title", F.col("due_date").cast("string").alias("due"))).alias("e"))
+    found = asked.join(last, "case_id", "left")
+    mode = F.when(F.col("e").isNull(), "unknown").otherwise("established")
+    sentence = F.when(F.col("e").isNull(), STATEMENTS["unknown"]).otherwise(F.format_string(DUE_STATEMENT, F.col("e.title"), F.coalesce("e.due", F.lit(NO_DATE))))
+    return found.select("question_id", "case_id", mode.alias("mode"), sentence.alias("statement"), F.col("e.evaluation_id").alias("evaluation_id"))
+
+
 def grounded_claims(claims: DataFrame, log: DataFrame, edges: DataFrame) -> DataFrame:
     """Claims with current state and the sorted ids of their evidence."""
     support = edges.where("relationship = 'supported_by'").groupBy(F.col("from_id").alias("claim_id")).agg(F.sort_array(F.collect_set("to_id")).alias("evidence_ids"))
@@ -18,7 +54,8 @@ def grounded_claims(claims: DataFrame, log: DataFrame, edges: DataFrame) -> Data
 
 def answers(questions: DataFrame, claims: DataFrame) -> DataFrame:
     """Answer of each question over the claims (with current_state) of its case: (question_id, mode,
-    n_claims, n_values, first_claim_id, last_claim_id).
+    statement, n_claims, n_values, first_claim_id, last_claim_id). Questions for what is due belong to
+    ``due_answers``.
 
     A predicate matches if the lower-case question contains it (as it does anywhere in a word). Modes:
     unknown (no match), conflicting (several known values), established (all verified), suggested (any
@@ -37,7 +74,7 @@ def answers(questions: DataFrame, claims: DataFrame) -> DataFrame:
     )
     mode = F.when(F.col("n_claims").isNull(), "unknown").when(F.col("n_values") > 1, "conflicting").when(F.col("sure"), "established").when(F.col("hint"), "suggested").otherwise("claimed")
     out = asked.select("question_id", "case_id").join(found, "question_id", "left")
-    return out.select("question_id", "case_id", mode.alias("mode"), F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("n_values", F.lit(0)).alias("n_values"), "first_claim_id", "last_claim_id")
+    return out.select("question_id", "case_id", mode.alias("mode"), statement(mode).alias("statement"), F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("n_values", F.lit(0)).alias("n_values"), "first_claim_id", "last_claim_id")
 
 
 def citations(questions: DataFrame, grounded: DataFrame) -> DataFrame:

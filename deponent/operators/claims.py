@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from deponent.functions.values import deterministic_id, knowledge
 from deponent.operators.prefix import prefix_sum
 
+#: Fixed value: description of a claim's evidence, before the predicate.
+EXCERPT = "Artifact excerpt supporting predicate "
 GROUP = ["case_id", "subject_key", "predicate"]
 
 
@@ -37,7 +39,7 @@ def fan_out(fields: DataFrame, case_id: Column, version_id: Column, connector: s
         "provenance_records": base.select(F.col("provenance_id").alias("id"), "artifact_version_id", F.lit(connector).alias("connector"), "source_field", "paragraph_number", "text_span_start", "text_span_end", "row_number", "column_number", F.lit("structural").alias("extraction_method"), F.lit(extractor[0]).alias("extractor_name"), F.lit(extractor[1]).alias("extractor_version"), at.alias("extracted_at_ms"), F.lit("not_reviewed").alias("verification_state"), F.col("original_value").alias("original_representation")),
         "observations": base.select(F.col("observation_id").alias("id"), "case_id", "provenance_id", "original_value", at.alias("observed_at_ms")),
         "claims": base.select(F.col("claim_id").alias("id"), "case_id", "subject_key", "predicate", "original_value", "normalized_value", "provenance_id", F.lit("external").alias("origin"), F.lit("extracted").alias("initial_state"), at.alias("created_at_ms")),
-        "evidence": base.select(F.col("evidence_id").alias("id"), "case_id", "provenance_id", F.lit("artifact_excerpt").alias("kind"), F.concat(F.lit("Artifact excerpt supporting predicate "), "predicate").alias("description")),
+        "evidence": base.select(F.col("evidence_id").alias("id"), "case_id", "provenance_id", F.lit("artifact_excerpt").alias("kind"), F.concat(F.lit(EXCERPT), "predicate").alias("description")),
         "evidence_edges": base.select(F.lit("claim").alias("from_kind"), F.col("claim_id").alias("from_id"), F.lit("supported_by").alias("relationship"), F.lit("evidence").alias("to_kind"), F.col("evidence_id").alias("to_id"), at.alias("created_at_ms")),
         "audit_events": audit(base, "claim.record", F.col("claim_id"), at, who),
     }

@@ -7,13 +7,19 @@ the claims they name and aggregated to a verdict.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deponent.functions.values import add_days, deterministic_id, sha256_hex
 
 #: Fixed value: largest number of conditions of a rule.
 MAX_CONDITIONS = 32
+#: Explanations of a verdict, {} for the predicates.
+DISAGREE = "Verified facts disagree; human adjudication is required."
+MISSING = "Required verified facts are missing: {}."
+FAILED = "Rule conditions were not satisfied: {}."
+NO_ANCHOR = "A verified deadline anchor ({}) is missing."
+SATISFIED = "All conditions and the deadline anchor are established by verified evidence."
 #: Largest number of rules of one evaluation: they are part of the plan and broadcast.
 MAX_RULES = 5_000
 
@@ -70,12 +76,17 @@ def evaluate(cases: DataFrame, verified: DataFrame, declared: list[dict]) -> Dat
     split = F.coalesce(F.col("first_day") != F.col("last_day"), F.lit(False))
     conflict, missing, failed, anchorless = F.col("disagree") | split, F.size("missing") > 0, F.size("failed") > 0, F.col("first_day").isNull()
     result = F.when(conflict | missing, "indeterminate").when(failed, "not_satisfied").when(anchorless, "indeterminate").otherwise("satisfied")
+
+    def told(sentence: str, about: Column) -> Column:
+        before, _, after = sentence.partition("{}")
+        return F.concat(F.lit(before), about, F.lit(after))
+
     why = (
-        F.when(conflict, "Verified facts disagree; human adjudication is required.")
-        .when(missing, F.concat(F.lit("Required verified facts are missing: "), names(F.col("missing")), F.lit(".")))
-        .when(failed, F.concat(F.lit("Rule conditions were not satisfied: "), names(F.col("failed")), F.lit(".")))
-        .when(anchorless, F.concat(F.lit("A verified deadline anchor ("), "anchor_predicate", F.lit(") is missing.")))
-        .otherwise("All conditions and the deadline anchor are established by verified evidence.")
+        F.when(conflict, DISAGREE)
+        .when(missing, told(MISSING, names(F.col("missing"))))
+        .when(failed, told(FAILED, names(F.col("failed"))))
+        .when(anchorless, told(NO_ANCHOR, F.col("anchor_predicate")))
+        .otherwise(SATISFIED)
     )
     return all_.select(
         "case_id",

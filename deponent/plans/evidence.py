@@ -307,15 +307,19 @@ _TRUE = '{"knowledge":"known","value":{"type":"boolean","value":true}}'
 _RULE = [{"rule_id": "notice", "conditions": [("document", "response_required", _TRUE), ("document", "active", _TRUE)], "anchor_predicate": "received_date", "days_after": 10}]
 
 
+def _as_documents(c: DataFrame) -> DataFrame:
+    return claims.known_claims(c).withColumn("case_id", F.concat_ws("/", "case_id", "subject_key")).withColumn("subject_key", F.lit("document"))
+
+
 def q_rule_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Each case as one document: its verified claims against the sample rule."""
-    c = _claims(spark, d).where("confidence >= 0.8").withColumn("subject_key", F.lit("document"))
+    """Each subject as one document, its known claims taken as verified, against the sample rule."""
+    c = _as_documents(_claims(spark, d))
     out = rules.evaluate(c, c, _RULE)
     return out.select("case_id", "rule_id", "result", "explanation", F.col("due_date").cast("string").alias("due_date"), "n_inputs")
 
 
 _RULE_EVAL = f"""
-WITH {_SQL_CLAIMS}, v AS (SELECT * FROM claims WHERE confidence >= 0.8), cases_ AS (SELECT DISTINCT case_id FROM v),
+WITH {_SQL_CLAIMS}, v AS (SELECT * REPLACE (concat(case_id, '/', subject_key) AS case_id) FROM known), cases_ AS (SELECT DISTINCT case_id FROM v),
 cond AS (SELECT unnest([{{'pos': 0, 'predicate': 'response_required'}}, {{'pos': 1, 'predicate': 'active'}}]) AS c),
 per AS (SELECT k.case_id, c.pos, c.predicate, count(v.claim_id) AS n, count(CASE WHEN v.normalized_value = '{_TRUE}' THEN 1 END) AS hits
   FROM cases_ k CROSS JOIN cond LEFT JOIN v ON v.case_id = k.case_id AND v.predicate = c.predicate GROUP BY ALL),
@@ -358,17 +362,33 @@ _ANSWER = f"""
 WITH {_SQL_CLAIMS}, q AS (SELECT case_id, concat(case_id, '/', question) AS question_id, lower(question) AS question FROM (SELECT DISTINCT case_id FROM claims), (SELECT unnest(['What is the monthly_amount?', 'Count of active items?', 'Which invented_color?', 'NOTES please']) AS question)),
 m AS (SELECT question_id, count(*) AS n_claims, count(DISTINCT CASE WHEN knowledge = 'known' THEN normalized_value END) AS n_values, bool_and(state = 'verified') AS sure, min(claim_id) AS first_claim_id, max(claim_id) AS last_claim_id
   FROM q JOIN claims USING (case_id) WHERE contains(question, lower(predicate)) GROUP BY 1)
-SELECT question_id, case_id, CASE WHEN n_claims IS NULL THEN 'unknown' WHEN n_values > 1 THEN 'conflicting' WHEN sure THEN 'established' ELSE 'claimed' END AS mode, coalesce(n_claims, 0) AS n_claims, coalesce(n_values, 0) AS n_values, coalesce(first_claim_id, -1) AS first_claim_id, coalesce(last_claim_id, -1) AS last_claim_id
+SELECT question_id, case_id, CASE WHEN n_claims IS NULL THEN 'unknown' WHEN n_values > 1 THEN 'conflicting' WHEN sure THEN 'established' ELSE 'claimed' END AS mode,
+  CASE WHEN n_claims IS NULL THEN 'The system does not have sufficient evidence to determine this.' WHEN n_values > 1 THEN 'Sources disagree about this predicate.' WHEN sure THEN 'The evidence establishes a value for this predicate.' ELSE 'One or more sources claim a value for this predicate.' END AS statement, coalesce(n_claims, 0) AS n_claims, coalesce(n_values, 0) AS n_values, coalesce(first_claim_id, -1) AS first_claim_id, coalesce(last_claim_id, -1) AS last_claim_id
 FROM q LEFT JOIN m USING (question_id)
 """
 
 
+def q_due_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Each subject asked for its deadline, over the evaluations of the sample rule."""
+    c = _as_documents(_claims(spark, d))
+    made = rules.evaluate(c, c, _RULE).select("case_id", F.concat_ws("/", "case_id", "rule_id").alias("evaluation_id"), "result", F.lit("Answer").alias("title"), "due_date", F.lit(1).cast("bigint").alias("evaluated_at_ms"))
+    asked = c.select("case_id", F.col("case_id").alias("question_id"), F.lit("What is the DEADLINE?").alias("question")).distinct()
+    return A.due_answers(asked, made)
+
+
 def q_citations(spark: SparkSession, d: str) -> DataFrame:
     c = _claims(spark, d)
     g = A.grounded_claims(c, _state_log(c), _edges(c)).withColumn("provenance_id", F.col("artifact_version_id"))
     return A.citations(_questions(c), g).select("question_id", "claim_id", "provenance_id", F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
+_DUE = f"""
+SELECT case_id AS question_id, case_id, CASE WHEN result = 'satisfied' THEN 'established' ELSE 'unknown' END AS mode,
+  CASE WHEN result = 'satisfied' THEN concat('Answer is required by a satisfied rule evaluation and is due ', due_date, '.') ELSE 'The system does not have sufficient evidence to determine this.' END AS statement,
+  CASE WHEN result = 'satisfied' THEN concat(case_id, '/notice') END AS evaluation_id
+FROM ({_RULE_EVAL})
+"""
+
 _CITATIONS = f"""
 WITH {_SQL_CLAIMS}, q AS (SELECT case_id, concat(case_id, '/', question) AS question_id, lower(question) AS question FROM (SELECT DISTINCT case_id FROM claims), (SELECT unnest(['What is the monthly_amount?', 'Count of active items?', 'Which invented_color?', 'NOTES please']) AS question))
 SELECT question_id, claim_id, artifact_version_id AS provenance_id, concat('evidence_', claim_id) AS evidence_ids FROM q JOIN claims USING (case_id) WHERE contains(question, lower(predicate))
@@ -492,6 +512,7 @@ SQL = {
     "q_add_days": "SELECT o_orderkey, CASE WHEN year(CAST(o_orderdate AS date) + CAST((o_orderkey % 4000) * 1000 AS int)) <= 9999 THEN strftime(CAST(o_orderdate AS date) + CAST((o_orderkey % 4000) * 1000 AS int), '%Y-%m-%d') END AS due FROM orders",
     "q_grounded_claims": f"WITH {_SQL_CLAIMS} SELECT claim_id, state AS current_state, concat('evidence_', claim_id) AS evidence_ids FROM claims",
     "q_grounded_answer": _ANSWER,
+    "q_due_answer": _DUE,
     "q_citations": _CITATIONS,
     "q_provenance_lineage": _LINEAGE,
     "q_violations": _VIOLATIONS,

@@ -169,6 +169,15 @@ def test_answer_modes(spark, states, values, mode):
     assert got["u"]["mode"] == got["o"]["mode"] == "unknown"
 
 
+def test_what_is_due(spark):
+    q = spark.createDataFrame([("a", "c", "What MUST we do?"), ("b", "d", "deadline?"), ("x", "c", "amount?"), ("n", "c", None)], "question_id string, case_id string, question string")
+    e = spark.createDataFrame([("c", "e1", "satisfied", "Old", "2026-08-22", 1), ("c", "e2", "satisfied", "New", None, 2), ("c", "e3", "not_satisfied", "No", None, 3)], "case_id string, evaluation_id string, result string, title string, due_date string, evaluated_at_ms bigint")
+    assert rows(answers.due_answers(q, e), "question_id", "mode", "statement", "evaluation_id") == [
+        ("a", "established", "New is required by a satisfied rule evaluation and is due an unresolved date.", "e2"),
+        ("b", "unknown", answers.STATEMENTS["unknown"], None),
+    ]
+
+
 def test_citations_and_evidence(spark):
     c = frame(spark, [(1, "s", "amount", "5"), (2, "s", "other", "6")])
     edges = spark.createDataFrame([(1, "supported_by", "e2"), (1, "supported_by", "e1")], "from_id bigint, relationship string, to_id string")
