@@ -53,10 +53,13 @@ _DOTTED = re.compile(r"(?<![\w-])[\w-]++(?:\.[\w-]++)++(?:/[^\s<>\[\]\"]*+)?")
 #: Last parts of a name with dots that make it a link.
 _DOMAINS = frozenset("com org net info biz shop online example invalid test de es fr ru pt jp it nl pl uk io co eu".split())
 _DOT = re.compile(r"\s{0,3}(?:\[\.\]|\(\.\)|[\[(](?:dot|punkt|punto|point|ponto)[\])]|(?<=[\w-])\s{1,3}dot\s{1,3}(?=[a-z]))\s{0,3}", re.I)
+#: What a text must hold, in lower case, for the patterns of dots and of links to match.
+_DOT_SIGNS, _LINK_SIGNS = ("[.]", "(.)", "dot", "punkt", "punto", "point", "ponto"), ("<a", "[url", "](", "http", "hxxp", "ftp", "www.")
 _BREAK = re.compile(r"<(?:br|/p|/div|/li|/h[1-6])\b[^>]{0,500}>", re.I)
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,200}>|\[/?[a-z*]+(?:=[^\]\n]{0,100})?\]", re.I)
 _END = re.compile(r"(?<=[.!?…。！？])[)\"'»”]*(?:\s+|(?<=[。！？])|\Z)")
 _STRONG = re.compile(r"\s{0,4}(?:\|+|;|[•·★☆►▶✓✔➤→~=]+|/{1,2}(?=\s)|(?<=\s)[-–—*+](?=\s)|\t)\s{0,4}")
+_MAY_CUT = re.compile(r"[|;•·★☆►▶✓✔➤→~=/\-–—*+\t]")
 _COMMA = re.compile(r"\s{0,4}[,、，]\s{0,4}")
 _WORD = re.compile(r"[^\W_]+(?:['’\-@$][^\W_]+)*")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
@@ -106,21 +109,31 @@ def plain(text: str) -> str:
     and markup resolved; links stand as one sign each."""
     text = html.unescape(html.unescape(text))
     text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = _LINK.sub(f" {LINK} ", _DOT.sub(".", _BREAK.sub("\n", text)))
-    text = _TAG.sub(" ", _DOTTED.sub(lambda m: f" {LINK} " if m[0].partition("/")[0].rpartition(".")[2].lower() in _DOMAINS else m[0], text))
+    low = text.lower()  # most posts hold none of the signs that a pattern needs
+    if "<" in text:
+        text = _BREAK.sub("\n", text)
+    if any(sign in low for sign in _DOT_SIGNS):
+        text = _DOT.sub(".", text)
+    if any(sign in low for sign in _LINK_SIGNS):
+        text = _LINK.sub(f" {LINK} ", text)
+    if "." in text:
+        text = _DOTTED.sub(lambda m: f" {LINK} " if m[0].partition("/")[0].rpartition(".")[2].lower() in _DOMAINS else m[0], text)
+    if "<" in text or "[" in text:
+        text = _TAG.sub(" ", text)
     return _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
 
 
+def _unmasked(w: str) -> str:
+    """A word with the letters that digits and signs in it stand for; numbers stay."""
+    return w.translate(_LEET) if any(c.isalpha() for c in w) else w
+
+
 def _words(piece: str) -> list[str]:
     """Words, folded; of scripts without spaces two characters count as one."""
-    out: list[str] = []
-    for w in _WORD.findall(piece):
-        if _WIDE.search(w):
-            out += [w[i : i + 2] for i in range(0, len(w), 2)]
-        else:
-            w = w.lower()
-            out.append(w.translate(_LEET) if not w.isalpha() and any(c.isalpha() for c in w) else w)
-    return out
+    found = [w if w.isalpha() else _unmasked(w) for w in _WORD.findall(piece.lower())]
+    if piece.isascii() or not _WIDE.search(piece):
+        return found
+    return [x for w in found for x in ([w[i : i + 2] for i in range(0, len(w), 2)] if _WIDE.search(w) else (w,))]
 
 
 def _capitals(piece: str) -> str:
@@ -161,14 +174,14 @@ def pieces(own: str) -> list[Piece]:
     out = []
     for line in own.split("\n"):
         line = line.strip()
-        tags = _HASHED.findall(line)
+        tags = _HASHED.findall(line) if "#" in line else []
         if len(tags) > 1:
             out += [Piece((1, _capitals(t), "#", 0), _words(t), 0, False) for t in tags]
             line = _HASHED.sub(" ", line)
         for sentence in _END.split(line):
-            commas = _COMMA.split(sentence)
+            commas = _COMMA.split(sentence) if "," in sentence or "、" in sentence or "，" in sentence else [sentence]
             listed = len(commas) > LIST_PIECES and len(_words(sentence)) <= 4.5 * len(commas)
-            cut = _STRONG.split(sentence)
+            cut = _STRONG.split(sentence) if _MAY_CUT.search(sentence) else [sentence]
             in_list = listed or len(cut) > LIST_PIECES
             for piece in (p for strong in cut for p in (_COMMA.split(strong) if listed else [strong])):
                 links, words = piece.count(LINK), _words(piece)
