@@ -38,8 +38,7 @@ CHUNK, DISTINCT, DISTINCT_PROSE = 24, 0.5, 0.4
 HEAP_WORDS, SHORT_PART, SHORT_WORD = 16, 0.2, 3
 
 # Patterns take bounded or possessive runs only, so a text of any length is read in linear time.
-_BLOCK = re.compile(r"<blockquote\b[^>]{0,500}>|\[quote\b[^\]]{0,500}\]|</blockquote\s{0,9}>|\[/quote\s{0,9}\]", re.I)
-_CODE = re.compile(r"\[code\b[^\]]{0,500}\].*?(?:\[/code\]|\Z)|```.*?(?:```|\Z)|<(pre|code)\b[^>]{0,500}>.*?(?:</\1\s{0,9}>|\Z)", re.I | re.S)
+_MARK = re.compile(r"<(/?)(blockquote|pre|code)\b[^>]{0,500}>|\[(/?)(quote|code)\b[^\]]{0,500}\]|```", re.I)
 _LOGGED = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|(?: {4,}|\t+)\S.*[=(){}\[\]]|\s*(?:def|class|return|import|for|while|if|else|elif|function|var|let|const|SELECT)\b.*[:;(){}=]\s*\Z|[|+:\-\s]+\Z")
 _QUOTED = re.compile(r"\s*(?:>|&gt;)")
 _SIGNATURE = re.compile(r"\s*(?:-{2,3}|—|_{4,})\s*\Z")
@@ -72,26 +71,102 @@ LINK = "\ue000"
 _LEET = str.maketrans("0134578@$", "oieastbas")
 
 
+class Mark(NamedTuple):
+    """A sign at which a quote block or a code block starts or ends."""
+
+    start: int
+    end: int
+    kind: str
+    closes: bool  # a fence both opens and closes
+
+    @property
+    def quotes(self) -> bool:
+        return self.kind in ("[quote", "blockquote")
+
+
+def _partners(marks: list[Mark]) -> tuple[dict[int, int], dict[int, int]]:
+    """Of each start of a quote block and of each start of code, the mark that ends it, if any. Code
+    that meets another start of its kind first has none; in a quote it ends with the quote at the
+    latest. Marks in code that is closed count for nothing."""
+    code: dict[int, int] = {}
+    following: dict[str, int] = {}
+    for i in range(len(marks) - 1, -1, -1):
+        m = marks[i]
+        if not m.quotes:
+            after = following.get(m.kind)
+            if after is not None and (m.kind == "```" or not m.closes and marks[after].closes):
+                code[i] = after
+            following[m.kind] = i
+    quotes: dict[int, int] = {}
+    opened: list[int] = []
+    at = 0
+    while at < len(marks):
+        m = marks[at]
+        if m.quotes and not m.closes:
+            opened.append(at)
+        elif m.quotes and opened:
+            quotes[opened.pop()] = at
+        elif at in code:
+            depth, cut = 0, False
+            for inner in marks[at + 1 : code[at]]:
+                if inner.quotes:
+                    depth += -1 if inner.closes else 1
+                    cut |= depth < 0
+            if not (opened and cut):
+                at = code[at]
+        at += 1
+    return quotes, code
+
+
+def _without_blocks(text: str) -> str:
+    """The text without quote blocks and code. Of what starts in a quoted line only a quote block that
+    closes counts, as the line is left out itself. What never closes ends with its paragraph, code also
+    where a quote block or further code of its kind starts."""
+    if "[" not in text and "<" not in text and "```" not in text:
+        return text
+    marks = [Mark(m.start(), m.end(), f"[{m[4]}".lower() if m[4] else (m[2] or m[0]).lower(), bool(m[1] or m[3])) for m in _MARK.finditer(text)]
+    if not marks:
+        return text
+    quotes, code = _partners(marks)
+    later: dict[str, int] = {}
+    stops = [len(text)] * len(marks)  # where unclosed code ends at the latest
+    for i in range(len(marks) - 1, -1, -1):
+        m = marks[i]
+        stops[i] = min(later.get(m.kind, len(text)), later.get("quote", len(text)))
+        if not m.closes:
+            later["quote" if m.quotes else m.kind] = m.start
+    out: list[str] = []
+    at = seen = line = 0
+    begun, in_quoted, paragraph = -1, False, -1
+    for i, m in enumerate(marks):
+        if m.start < at or (m.closes and i not in code):
+            continue
+        line = max(line, text.rfind("\n", seen, m.start) + 1, at)
+        seen = m.start
+        if begun != line:
+            begun, in_quoted = line, bool(_QUOTED.match(text, line))
+        partner = quotes.get(i) if m.quotes else code.get(i)
+        if in_quoted and not (m.quotes and partner is not None):
+            continue
+        if partner is not None:
+            end = marks[partner].end
+        else:
+            if paragraph < m.end:
+                paragraph = text.find("\n\n", m.end)
+                paragraph = len(text) if paragraph < 0 else paragraph
+            end = paragraph if m.quotes else min(paragraph, stops[i])
+        out += [text[at : m.start], "\n"]
+        at = end
+    out.append(text[at:])
+    return "".join(out)
+
+
 def drop_quoted(text: str) -> str:
     """The text without quote blocks, quoted lines with the line that announces them, code, logs and
-    the signature. A quote block that never closes ends with its paragraph."""
-    out, depth, at = [], 0, 0
-    text = _CODE.sub("\n", text.replace("\r\n", "\n").replace("\r", "\n"))
-    for m in _BLOCK.finditer(text):
-        if m[0][1] != "/":
-            if not depth:
-                out.append(text[at : m.start()])
-                at = m.end()
-            depth += 1
-        elif depth:
-            depth -= 1
-            if not depth:
-                at = m.end()
-                out.append("\n")
-    rest = text[at:]
-    out.append(rest.partition("\n\n")[2] if depth else rest)
+    the signature. A block that never closes ends with its paragraph, code in a quote with the quote."""
+    text = _without_blocks(text.replace("\r\n", "\n").replace("\r", "\n"))
     kept: list[str] = []
-    for line in "".join(out).split("\n"):
+    for line in text.split("\n"):
         if _QUOTED.match(line):
             while kept and not kept[-1].strip():
                 kept.pop()

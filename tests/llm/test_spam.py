@@ -84,3 +84,43 @@ def test_table(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr("text AS words", "doc_id", "text", "1 AS spam")
     assert sorted(r[0] for r in spam_documents(df).collect()) == [1, 5]
     assert spam_documents(df.limit(0)).count() == 0
+
+
+CUT = "[code]\n11:42:03 ERROR ctl[4] valve=1 temp=32.5 retry\n00:09:59 INFO ctl[4]"
+STUFFED = "BESTELLEN ANTENNE ! b e s t e l l e n A n t e n n e ! b3st3ll3n Ant3nn3 ! bestellen_Antenne ! " * 12
+
+
+@pytest.mark.parametrize("code", [CUT, CUT.replace("[code]", "```"), CUT.replace("[code]", "<pre>"), CUT.replace("[code]", "<pre><code>")])
+@pytest.mark.parametrize("form", ["[quote=a][quote]x[/quote]y\n{}[/quote]\n", "[quote author=a]\ny\n{}\n[/quote]\n", "<blockquote>y\n{} […]</blockquote>\n", "A wrote:\n> y\n> {}\n"])
+def test_code_cut_in_a_quote_leaves_the_own_words(form, code):
+    quote = form.format(code.replace("\n", "\n> ") if "> {" in form else code)
+    assert is_spam(quote + STUFFED)
+    assert not is_spam(quote + POST)
+    assert drop_quoted(quote + POST).strip() == POST
+    assert drop_quoted(quote + POST + "\n[code]x = 1[/code] ```y``` <pre>z</pre>").split() == POST.split()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "own\n[code]\nx [quote] y\n\n<blockquote>\n[/code]\nwords",
+        "[quote]look: [code]<blockquote>[/code] x[/quote]own words",
+        "[code]\n>>> x[/code]\nown words",
+        "own\n[code]cut\n\nwords",
+        "own [code]cut\n[quote]q\n\nq[/quote]words",
+        "[quote]open\n\nown [quote]q[/quote] words",
+        "> [quote]cut\nown words",
+        "> [quote]a\nb[/quote]own [code]x[/code]words",
+    ],
+)
+def test_blocks_end_where_they_should(text):
+    assert drop_quoted(text).split() == ["own", "words"]
+
+
+@pytest.mark.parametrize("unit", ["[quote]", "[code]", "[/quote]", "```", "<pre>", "[quote]```", "[quote]\n\n", "[code]\n\n", "> [code]\n", "[code]x[/quote][/code]", "<code><pre>"])
+def test_long_texts_of_blocks_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    is_spam("x" + unit * (400_000 // len(unit)) + "x")
+    assert time.process_time() - began < 8
