@@ -177,11 +177,13 @@ def split_records(lines: DataFrame, *, file_col: str = "artifact_version_id") ->
     header), ``value`` (a typed field can't be built). Defined results: header rows (row_number 0)
     and blank or null raw lines are neither loaded nor failed; a null row_number is a data record; a
     null or headerless file fails as ``columns``; of several headers of a file that of the smallest
-    line_id counts; redelivered copies (same line_id) come out once; texts of any length are parsed
-    whole; an empty table gives two empty tables; further input columns are ignored, whatever their
+    line_id counts; redelivered copies (same line_id, file, row_number and raw line but for its
+    line end, where null equals null) come out once; a null line_id or one of several different
+    records merges nothing, each of them is loaded or failed; texts of any length are parsed whole; an empty table gives two empty tables; further input columns are ignored, whatever their
     names. The row-to-header join is on a unique key, so a file that holds a large share of all rows
     is split by adaptive execution without changing the result."""
     checked = checked_records(lines, file_col=file_col)
-    failed = checked.where("reason is not null").groupBy("line_id").agg(F.min_by(F.struct("file_id", "row_number", "reason", "raw_line"), "reason").alias("r")).select("line_id", "r.*")
-    loaded = checked.where("reason is null").drop("reason", "raw_line").distinct()
+    record = [F.col(c) for c in ("line_id", "file_id", "row_number")] + [F.rtrim("raw_line", F.lit("\r\n")).alias("_record")]
+    failed = checked.where("reason is not null").groupBy(*record, "reason").agg(F.min("raw_line").alias("raw_line")).select("line_id", "file_id", "row_number", "reason", "raw_line")
+    loaded = checked.where("reason is null").withColumn("_record", record[-1]).drop("reason", "raw_line").distinct().drop("_record")
     return Split(loaded, failed)

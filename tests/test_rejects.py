@@ -100,3 +100,13 @@ def test_empty_table(spark):
 def test_hot_file(spark):
     data = [HEAD] + [(i, "f", i, f"N{i},{i}.5,,") for i in range(2, 3000)] + [(9000 + i, f"g{i}", 0, "name") for i in range(50)]
     assert split_records(spark.createDataFrame(data, SCHEMA)).loaded.agg(F.sum("amount")).first()[0] == sum(i + 0.5 for i in range(2, 3000))
+
+
+def test_only_copies_of_a_record_merge(spark):
+    bad = [(None, "f", 1, "bad"), (None, "f", 2, "bad"), (None, "f", 3, '"open'), (None, None, 4, "bad"), (5, "f", 5, "bad"), (5, "f", 5, "worse"), (5, "f", 6, '"open')]
+    good = [(None, "f", 7, "Ann,1,,"), (None, "f", 8, "Ann,1,,"), (None, "f", 8, "Ann,1.0,,"), (None, "f", 8, "Ann,1,null,"), (9, "f", 9, "Ann,1,,"), (9, "f", 9, "Ann,1,null,")]
+    again = [(i, f, n, raw + "\r\n") for i, f, n, raw in bad[:1] + bad[4:6] + good[:1] + good[5:]]
+    out = split_records(spark.createDataFrame([HEAD, *bad, *good, *bad, *good, *again], SCHEMA))
+    assert rows(out.failed, "line_id", "row_number", "reason") == sorted(((i, n, "quoting" if raw == '"open' else "columns") for i, f, n, raw in bad), key=repr)
+    assert rows(out.loaded, "line_id", "row_number") == sorted(((i, n) for i, f, n, raw in good), key=repr)
+    assert rows(out.failed.where("row_number = 5"), "raw_line") == [("bad",), ("worse",)]
