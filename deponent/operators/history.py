@@ -102,6 +102,19 @@ class History:
         """(keys, version_number, valid_from_ms, valid_to_ms) after ``updates``; -1 is open."""
         return self._run(updates, state)[1]
 
+    def periods_by_batches(self, updates: DataFrame, batches: int = 2) -> DataFrame:
+        """``periods`` of ``updates`` that come in as so many batches, in order of time: each is merged
+        into the written state of the ones before it. Of few different times some batches hold none."""
+        updates = materialize(updates, "history-updates")
+        cuts = updates.agg(F.percentile_approx("at", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
+        state = None
+        ends = [None, *sorted(set(cuts)), None]
+        for after, until in zip(ends, ends[1:-1]):
+            part = updates.where(F.col("at") <= until)
+            part = part if after is None else part.where(F.col("at") > after)
+            state = materialize(self.merge(part, state), "history-state")
+        return self.periods(updates if ends[-2] is None else updates.where(F.col("at") > ends[-2]), state)
+
     def _run(self, updates: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         untouched = None
         if state is not None:

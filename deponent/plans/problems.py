@@ -56,7 +56,7 @@ def p4_wide(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     updates = version_updates(table(spark, d, "artifact_versions"), table(spark, d, "artifacts"))
-    return History(["case_id", "source_key"]).periods(updates)
+    return History(["case_id", "source_key"]).periods_by_batches(updates)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p2_found, p3_found, p4_found, p4_wide, p5_found)}

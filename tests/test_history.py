@@ -76,3 +76,30 @@ def test_versions_over_all_artifact_ids(spark):
     v = spark.createDataFrame([("v1", "a1", 1, "x", 10), ("v1", "a1", 1, "x", 10), ("v2", "a2", 2, "y", 20), ("v3", "a2", 3, None, None), ("v4", "zz", 1, "x", 1)], "id string, artifact_id string, version_number int, content_sha256 string, ingested_at_ms bigint")
     a = spark.createDataFrame([("a1", "c", "s"), ("a1", "c", "s"), ("a2", "c", "s")], "id string, case_id string, source_key string")
     assert rows(History(["case_id", "source_key"]).periods(version_updates(v, a))) == [("c", "s", 1, 10, 20), ("c", "s", 2, 20, -1)]
+
+
+def test_batches_merge_into_a_written_state(spark):
+    data, seen = some(9, 300, keys=6) + [("late", 1, 1, "a", "x")], []
+
+    class Watched(History):
+        def _run(self, updates, state):
+            seen.append((updates.agg(F.min("at"), F.max("at")).first(), None if state is None else state.count()))
+            return super()._run(updates, state)
+
+    df = spark.createDataFrame(data, EVENT)
+    assert rows(Watched(["k"]).periods_by_batches(df, 3)) == brute(data)
+    assert [bool(s) for _, s in seen] == [False, True, True]
+    assert seen[0][0][1] < seen[1][0][0] <= seen[1][0][1] < seen[2][0][0]
+    assert rows(History(["k"], hot_events=20).periods_by_batches(df)) == brute(data)
+    assert History(["k"]).periods_by_batches(spark.createDataFrame([], EVENT)).count() == 0
+    same = [("k", 5, v, h, "1") for v, h in ((1, "a"), (2, "b"))]
+    assert rows(History(["k"]).periods_by_batches(spark.createDataFrame(same, EVENT))) == brute(same)
+
+
+def test_the_query_merges_into_a_state(spark, tables, monkeypatch):
+    from deponent.plans.problems import p5_found
+
+    states = []
+    run = History._run
+    monkeypatch.setattr(History, "_run", lambda self, updates, state: states.append(state is not None) or run(self, updates, state))
+    assert p5_found(spark, tables).count() and states == [False, True]
