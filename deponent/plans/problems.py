@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from deponent.operators.instants import connector_of_versions, normalise
 from deponent.operators.rejects import split_records
 from deponent.operators.survivorship import best_records
 from deponent.operators.wide import as_text, melted, wide_table
-from deponent.session import materialize
+from deponent.session import materialize, scratch_path
 from deponent.sources.tables import table
 
 
@@ -40,7 +42,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
         return known.select(F.lit(name).alias("table_name"), F.col("k").cast("string").alias("record_key"), "raw", "zone", "date_order")
 
     own = of.where("received_at is not null").select(F.lit("artifact_versions").alias("table_name"), F.col("version_id").alias("record_key"), F.col("received_at").alias("raw"), "zone", "date_order")
-    return normalise(own.unionByName(rows("simple_records", records)).unionByName(rows("extracted_fields", claims.join(holds, "_p", "left_semi").drop("_p"))))
+    path = scratch_path(spark, "instant-dictionary")  # each column parses only what the ones before it lacked
+    columns = (own, rows("simple_records", records), rows("extracted_fields", claims.join(holds, "_p", "left_semi").drop("_p")))
+    return reduce(DataFrame.unionByName, [normalise(c, path) for c in columns])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -104,3 +104,22 @@ def test_reading_rules_follow_the_source(spark):
     s = spark.createDataFrame([("s1", "mail"), ("s1", "mail")], "id string, connector string")
     c = spark.createDataFrame([("mail", B, "dmy")], "connector string, local_zone string, date_order string")
     assert rows(connector_of_versions(v, a, s, c)) == [("v1", "x", B, "dmy"), ("v2", None, None, None), ("v3", None, None, None)]
+
+
+def test_the_query_feeds_its_columns_through_one_dictionary(spark, tables, monkeypatch):
+    from deponent.operators import instants
+    from deponent.plans.problems import p3_found
+
+    sizes, extend = [], instants.extend_dictionary
+
+    def watched(wanted, path):
+        old = instants._known(wanted, path)
+        sizes.append((path, 0 if old is None else old.count()))
+        return extend(wanted, path)
+
+    monkeypatch.setattr(instants, "extend_dictionary", watched)
+    p3_found(spark, tables)
+    assert len({path for path, _ in sizes}) == 1 and len(sizes) == 3
+    assert 0 == sizes[0][1] < sizes[1][1] < sizes[2][1]
+    entries = spark.read.parquet(sizes[0][0])
+    assert entries.count() == entries.select("raw", "zone", "date_order").distinct().count()
