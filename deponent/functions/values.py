@@ -123,6 +123,26 @@ def valid_record_id(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9_-]{3,100}$"), F.lit(False))
 
 
+def valid_sha256(c: Column) -> Column:
+    """64 lower-case hexadecimal digits."""
+    return F.coalesce(c.rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
+
+
+def valid_span(start: Column, end: Column) -> Column:
+    """The end does not precede the start; a missing side is valid."""
+    return F.coalesce(end >= start, F.lit(True))
+
+
+def valid_model(provider: Column, *others: Column) -> Column:
+    """A provider is given where a model's name, version or configuration is."""
+    return provider.isNotNull() | F.coalesce(*others).isNull()
+
+
+def valid_time(ms: Column) -> Column:
+    """Not negative; a missing time is valid."""
+    return F.coalesce(ms >= 0, F.lit(True))
+
+
 def valid_text(c: Column, least: int, most: int) -> Column:
     """Trimmed length within bounds and no control character."""
     return F.coalesce(F.char_length(trim_ws(c)).between(least, most) & ~c.rlike(r"\p{Cc}"), F.lit(False))

@@ -194,3 +194,12 @@ def test_checks(spark):
     assert rows(checks.failing(a, {"k": F.col("k") == "x", "id": F.col("id") < 3}).select("errors")) == [(["k", "id"],), (["k", "id"],), (["k"],), ([],)]
     there, absent = checks.split_existing(a, "k", b, "k")
     assert rows(there, "id") == [(1,)] and absent.count() == 3
+
+
+def test_predicates_of_provenance(spark):
+    from deponent.functions import values as V
+
+    data = [("a" * 64, 1, 2, "p", "m", None, 0), (None, None, 2, None, None, None, None), ("A" * 64, 2, 1, None, None, "{}", -1), ("a" * 64 + "\n", 3, 3, None, "m", None, 5)]
+    df = spark.createDataFrame(data, "sha string, a bigint, b bigint, provider string, name string, config string, at bigint")
+    ok = {"sha": V.valid_sha256(F.col("sha")), "span": V.valid_span(F.col("a"), F.col("b")), "model": V.valid_model(*(F.col(c) for c in ("provider", "name", "config"))), "time": V.valid_time(F.col("at"))}
+    assert [r[0] for r in checks.failing(df, ok).select("errors").collect()] == [[], ["sha"], ["sha", "span", "model", "time"], ["sha", "model"]]
