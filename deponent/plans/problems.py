@@ -11,7 +11,6 @@ from deponent.functions.text import squeeze_name
 from deponent.operators.history import History, version_updates
 from deponent.operators.instants import connector_of_versions, normalise
 from deponent.operators.rejects import split_records
-from deponent.operators.survivorship import best_records
 from deponent.operators.wide import as_text, melted, wide_table
 from deponent.session import materialize, scratch_path
 from deponent.sources.tables import table
@@ -25,10 +24,6 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     return split_records(table(spark, d, "uneven")).loaded.select("line_id", "row_number", "name", *(F.col(c).cast("string").alias(c) for c in ("received_date", "response_required")))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return best_records(table(spark, d, "provenance_records")).select("survivor_id", "extracted_id", "confidence_id")
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     of = connector_of_versions(*(table(spark, d, t) for t in ("artifact_versions", "artifacts", "sources", "connectors")))
     of = materialize(of, "version-connector")
@@ -63,4 +58,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return History(["case_id", "source_key"]).periods_by_batches(updates)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p2_found, p3_found, p4_found, p4_wide, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p3_found, p4_found, p4_wide, p5_found)}

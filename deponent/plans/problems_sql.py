@@ -36,28 +36,6 @@ WITH recs AS (
 )
 """
 
-_P2 = r"""
-WITH r AS (
-  SELECT DISTINCT id, artifact_version_id, page_number, paragraph_number, row_number, column_number,
-    lower(regexp_replace(source_field, '[\s_-]+', '', 'g')) AS source_field,
-    CASE lower(regexp_replace(verification_state, '^\s+|\s+$', '', 'g')) WHEN 'verified' THEN 0 WHEN 'corrected' THEN 1 WHEN 'rejected' THEN 3 ELSE 2 END AS state,
-    CASE WHEN extracted_at_ms >= epoch_ms(TIMESTAMP '2015-01-01') AND extracted_at_ms < epoch_ms(TIMESTAMP '2027-01-01') THEN extracted_at_ms END AS t,
-    CASE WHEN confidence >= 0 AND confidence <= 1 THEN confidence END AS c
-  FROM provenance_records
-), n AS (
-  SELECT *, count(*) OVER g AS members,
-    row_number() OVER (g ORDER BY state, t DESC NULLS LAST, c DESC NULLS LAST, id) AS a,
-    row_number() OVER (g ORDER BY t DESC NULLS LAST, id) AS b,
-    row_number() OVER (g ORDER BY c IS NULL, state, t DESC NULLS LAST, c DESC NULLS LAST, id) AS d
-  FROM r WINDOW g AS (PARTITION BY artifact_version_id, page_number, paragraph_number, row_number, column_number, source_field)
-)
-SELECT max(CASE WHEN a = 1 THEN id END) AS survivor_id,
-  coalesce(max(CASE WHEN b = 1 AND t IS NOT NULL THEN id END), 'none') AS extracted_id,
-  coalesce(max(CASE WHEN d = 1 AND c IS NOT NULL THEN id END), 'none') AS confidence_id
-FROM n WHERE members > 1
-GROUP BY artifact_version_id, page_number, paragraph_number, row_number, column_number, source_field
-"""
-
 _P4_CELLS = r"""
 WITH claims AS (
   SELECT case_id, lower(regexp_replace(regexp_replace(subject_key, '^\s+|\s+$', '', 'g'), '[\s_-]+', '-', 'g')) AS subject_key,
@@ -118,7 +96,6 @@ SQL = {
     "p1_loaded": _P1_CHECKED
     + "SELECT DISTINCT line_id, row_number, name, CASE WHEN lower(received) NOT IN ('', 'null', 'unknown') THEN received END AS received_date, "
     + "CASE WHEN response IN ('true', 'false') THEN response END AS response_required FROM checked WHERE reason IS NULL",
-    "p2_found": _P2,
     "p4_found": _P4_CELLS + "SELECT * FROM cells",
     "p4_wide": _P4_WIDE,
     "p5_found": _P5,

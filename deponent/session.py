@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
+_ENDING: set[str] = set()
+_OWN: list[str] = []
 
 
 def build_session(app: str = "deponent", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -33,22 +38,36 @@ def build_session(app: str = "deponent", master: str | None = None, partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Only where it is unset (tests, a local
-    session) a temporary folder of this machine is made, set and removed at exit."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that ``spark.checkpoint.dir`` names, or else the one set by ``setCheckpointDir``.
+    Only where neither is set and all executors are this process (tests, a local session) a temporary
+    folder of this machine is made and removed at exit."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="deponent-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="deponent-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, never reused by another run or call."""
-    return os.path.join(shared_dir(spark), f"deponent-{_RUN}", f"{name}-{uuid.uuid4().hex[:8]}")
+    """A new path under the shared folder, never reused by another run or call. What is written there
+    lasts until ``cleanup`` or the end of the process."""
+    run = os.path.join(shared_dir(spark), f"deponent-{_RUN}")
+    if run not in _ENDING:
+        _ENDING.add(run)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
+        atexit.register(_delete, path, spark.sparkContext._jsc.hadoopConfiguration())
+    return os.path.join(run, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+def _delete(path, conf) -> None:
+    """Delete a folder through the JVM, which outlives a stopped session; a lost JVM leaves it."""
+    with contextlib.suppress(Py4JError, OSError):
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cleanup(spark: SparkSession) -> None:
