@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deponent.llm.encoding import encode_documents
 from deponent.llm.mixing import mix_documents
-from deponent.llm.spam import spam_documents
+from deponent.llm.spam import shape_profile, spam_documents
 from deponent.llm.survivorship import ATTRIBUTES, best_records
 
 
@@ -50,6 +50,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_documents(_documents(spark, d))
 
 
+def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The shapes of the whole crawl with their counts."""
+    return shape_profile(_documents(spark, d))
+
+
 _RANKED = r"""
 WITH r AS (
   SELECT DISTINCT * REPLACE (lower(regexp_replace(source_field, '[\s_-]+', '', 'g')) AS source_field), source_field AS field,
@@ -85,4 +90,4 @@ SQL: dict[str, str] = {
     + f"max(CASE WHEN d = 1 THEN c END) AS confidence, {', '.join(map(_best_sql, ATTRIBUTES))} {_GROUPED}",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_record, p6_ids, p7_mix, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_record, p6_ids, p7_mix, p7_shares, p8_found, p8_shapes)}

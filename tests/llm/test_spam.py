@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from deponent.llm.spam import drop_quoted, is_spam, spam_documents
+from deponent.llm import spam
+from deponent.llm.spam import Shape, dominating, drop_quoted, is_spam, shape_profile, shapes, spam_documents
 
 WORDS = "kettle washer cable mixer hinge battery".split()
 POST = "Has anyone here tested a loose pump without removing the spindle? We paid 16.21 for the shuttle, and nobody told us about the roof panel. I'd rather wait until somebody has soaked theirs."
@@ -64,7 +65,7 @@ def test_ham(text):
     assert not is_spam(text)
 
 
-@pytest.mark.parametrize("unit", [" ", "a", "a ", "a.", "<a>", "[", "[url]", "<pre ", "<blockquote ", "[quote ", "&gt;", ", ", ";\t", "www.", "#", "-", "    (", "http://", "A wrote:\n", "[code", "\n", "敷", "a-", "dot "])
+@pytest.mark.parametrize("unit", [" ", "a", "a ", "a.", "<a>", "[", "[url]", "<pre ", "<blockquote ", "[quote ", "&gt;", ", ", ";\t", "www.", "#", "-", "    (", "http://", "A wrote:\n", "[code", "\n", "敷", "a-", "dot ", "a.b", "ab.cd.", "-- \n", "<a href=", "<a>x</a", "[url=x]", "[url]x[/url", "[a](", "(a){", "[size=1]", "\n[size=1]x", "11:07:15 a=1 ", "\t\t"])
 def test_long_texts_take_linear_time(unit):
     import time
 
@@ -76,7 +77,7 @@ def test_long_texts_take_linear_time(unit):
 def test_own_words():
     text = "[QUOTE=a]x [quote]y[/quote][/QUOTE]own\r\n&gt; z\r\n\r\nA wrote:\r\n>> w\r\nwords\r\n__________\r\nme"
     assert drop_quoted(text).split() == ["own", "words"]
-    assert drop_quoted("[quote]open\n\nown").split() == ["own"]
+    assert drop_quoted("[quote]open\n\nown").split() == ["[quote]open", "own"]
 
 
 def test_table(spark):
@@ -106,9 +107,7 @@ def test_code_cut_in_a_quote_leaves_the_own_words(form, code):
         "own\n[code]\nx [quote] y\n\n<blockquote>\n[/code]\nwords",
         "[quote]look: [code]<blockquote>[/code] x[/quote]own words",
         "[code]\n>>> x[/code]\nown words",
-        "own\n[code]cut\n\nwords",
-        "own [code]cut\n[quote]q\n\nq[/quote]words",
-        "[quote]open\n\nown [quote]q[/quote] words",
+        "own\n[quote]q\n\n[code]cut q[/quote]words",
         "> [quote]cut\nown words",
         "> [quote]a\nb[/quote]own [code]x[/code]words",
     ],
@@ -117,6 +116,87 @@ def test_blocks_end_where_they_should(text):
     assert drop_quoted(text).split() == ["own", "words"]
 
 
+LIST = "\n".join(f"buy {w} {u}" for w, u in zip(WORDS * 2, links(12)))
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        "---\n{}",
+        "word\n---\n{}",
+        "{}\n-- \nme",
+        "[quote]\n{}",
+        "<pre>\n{}",
+        "<pre><code>{}",
+        "```\n{}",
+        "[code]\n\n{}",
+        "[quote]a[/quote][quote]{}",
+        "<blockquote class='" + "x" * 900 + "'>q</blockquote>{}",
+    ],
+)
+def test_marks_that_close_nothing_hide_nothing(form):
+    assert is_spam(form.format(LIST))
+
+
+@pytest.mark.parametrize("line", ["    [buy {w}]({u})", "11:07:15 {w} {u}", "\t{w}(cheap) {u}", "for {w} {u};", "[{w}=1] {u}", "11:07:15 cheap {w}, best {w}"])
+def test_lines_dressed_as_code_or_logs(line):
+    assert is_spam("\n".join(line.format(w=w, u=u) for w, u in zip(WORDS * 2, links(12))))
+
+
+def test_long_attributes_and_links_are_read_whole():
+    long = "a" * 3000
+    assert not is_spam(f"<blockquote data-x='{long}'>" + LIST + "</blockquote>\nWhy does this rubbish keep coming back? I have reported it again.")
+    assert is_spam("\n".join(f'<a href="http://x.test/{long}{i}">buy kettle {long}</a>' for i in range(8)))
+    assert spam.plain(f"[url=http://x.test/{long}]{long}[/url]").split() == [spam.LINK]
+
+
+def test_a_signature_is_short_and_last():
+    assert drop_quoted("own\n-- \nme\nyou").split() == ["own"]
+    assert drop_quoted("-- \nme").split() == ["--", "me"]
+    assert drop_quoted("own\n---\nwords\n---\nme").split() == ["own", "---", "words"]
+    assert drop_quoted("own\n---\n" + "x\n" * 7).split()[1:3] == ["---", "x"]
+    assert drop_quoted("own\n\n[size=1][i]me[/i][/size]").split() == ["own"]
+    assert drop_quoted("[size=1]me[/size]").split() == ["[size=1]me[/size]"]
+
+
+def test_sentence_shapes():
+    assert Shape(5, True, True, "some", ".", 0).sentence and not Shape(1, True, True, "low", ".", 0).sentence
+    assert Shape(5, True, True, "low", "line", 0).sentence and not Shape(5, True, True, "title", "line", 0).sentence  # capitals decide
+    assert not Shape(5, True, True, "low", "|", 0).sentence and Shape(9, True, True, "low", "|", 0).sentence  # the separator does
+    assert not Shape(16, False, True, "low", "line", 0).sentence and not Shape(16, True, False, "low", "line", 0).sentence  # word counts do
+    assert is_spam("\n".join(f"Super {w.title()} Von {v.title()} Kaufen" for w in WORDS for v in WORDS[:2]))
+
+
+def test_few_shapes_dominate():
+    heavy, light = [4, 20], [4, 4]
+    caps, kinds = ("low", "all", "title", "some", "none"), ("line", "-", "|")
+    many = {Shape(1, True, True, c, k, 0): list(light) for c in caps for k in kinds}
+    held, total = dominating(many)
+    assert held == spam.FEW_SHAPES * 4 and total == 60 and not spam.flagged(many)
+    few = {Shape(1, True, True, "low", "line", 0): heavy, Shape(5, True, True, "some", ".", 0): [1, 15]}
+    assert dominating(few) == (20, 35) and spam.flagged(few)
+    assert not spam.flagged({Shape(1, True, True, "low", "line", 0): [spam.LIST_PIECES - 1, 20]})
+
+
+def test_repeated_sentences_are_sentences():
+    again = "Could you post a picture of the pump, please? " * 3
+    assert not is_spam(again) and is_spam("Pump cheap free shipping online now. " * 40)
+
+
+def test_profile_counts_shapes_over_all_posts(spark):
+    texts = [t for t in SPAM + HAM] + SPAM[:2]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, words string").repartition(3)
+    want = {}
+    for t in texts:
+        for s, (n, weight) in shapes(t).items():
+            g = want.setdefault((*s, s.sentence), [0, 0, 0, 0])
+            for i, x in enumerate((1, int(is_spam(t)), n, weight)):
+                g[i] += x
+    got = {tuple(r)[:7]: list(r)[7:] for r in shape_profile(df).collect()}
+    assert got == want
+    assert shape_profile(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("unit", ["[quote]", "[code]", "[/quote]", "```", "<pre>", "[quote]```", "[quote]\n\n", "[code]\n\n", "> [code]\n", "[code]x[/quote][/code]", "<code><pre>"])
 def test_long_texts_of_blocks_take_linear_time(unit):
     import time
