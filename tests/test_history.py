@@ -82,9 +82,9 @@ def test_batches_merge_into_a_written_state(spark):
     data, seen = some(9, 300, keys=6) + [("late", 1, 1, "a", "x")], []
 
     class Watched(History):
-        def _run(self, updates, state):
+        def merge(self, updates, state=None):
             seen.append((updates.agg(F.min("at"), F.max("at")).first(), None if state is None else state.count()))
-            return super()._run(updates, state)
+            return super().merge(updates, state)
 
     df = spark.createDataFrame(data, EVENT)
     assert rows(Watched(["k"]).periods_by_batches(df, 3)) == brute(data)
@@ -100,6 +100,47 @@ def test_the_query_merges_into_a_state(spark, tables, monkeypatch):
     from deponent.plans.problems import p5_found
 
     states = []
-    run = History._run
-    monkeypatch.setattr(History, "_run", lambda self, updates, state: states.append(state is not None) or run(self, updates, state))
+    run = History.merge
+    monkeypatch.setattr(History, "merge", lambda self, updates, state=None: states.append(state is not None) or run(self, updates, state))
     assert p5_found(spark, tables).count() and states == [False, True]
+
+
+def written(spark, df):
+    return spark.createDataFrame(df.collect(), df.schema)
+
+
+def test_a_late_row_of_a_known_version_and_time(spark):
+    h = History(["k"])
+    first, late = [("k", 1, 1, "H1", "z"), ("k", 2, 2, "H2", "b")], [("k", 1, 1, "H2", "a")]
+    state = written(spark, h.merge(spark.createDataFrame(first, EVENT)))
+    assert rows(h.periods(spark.createDataFrame(late, EVENT), state)) == [("k", 1, 1, -1)] == brute(first + late)
+
+
+def test_only_keys_with_late_updates_are_made_anew(spark):
+    h, seen = History(["k"]), []
+    old = [("a", 1, 1, "x", "1"), ("a", 5, 2, "y", "2"), ("b", 1, 1, "x", "3"), ("b", 5, 2, "y", "4"), ("c", 1, 1, "x", "5")]
+    new = [("a", 6, 3, "y", "6"), ("a", 7, 4, "z", "7"), ("a", 8, 1, "q", "8"), ("b", 3, 3, "w", "9"), ("d", 1, 1, "n", "0")]
+    state = written(spark, h.merge(spark.createDataFrame(old, EVENT)))
+    versions = h._versions
+    h._versions = lambda updates: seen.extend(sorted(tuple(r)[:3] for r in updates.collect())) or versions(updates)
+    merged = h.merge(spark.createDataFrame(new, EVENT), state)
+    # of a only its current version is compared, of b all events, of c none
+    assert [x for x in seen if x[0] == "a"] == [("a", 5, 2), ("a", 6, 3), ("a", 7, 4), ("a", 8, 1)]
+    assert [x for x in seen if x[0] == "b"] == [("b", 1, 1), ("b", 3, 3), ("b", 5, 2)] and not [x for x in seen if x[0] == "c"]
+    assert rows(h.view(merged)) == brute(old + new)
+    assert rows(merged) == rows(History(["k"]).merge(spark.createDataFrame(old + new, EVENT)))
+
+
+def test_any_batches_in_any_order_give_one_state(spark):
+    for seed in range(4):
+        r = random.Random(seed)
+        data = some(seed + 20, 120, keys=3, times=12, versions=6)
+        h = History(["k"], hot_events=r.choice([10, 10**6]))
+        whole = rows(History(["k"]).merge(spark.createDataFrame(data, EVENT)))
+        r.shuffle(data)
+        if seed % 2:
+            data.sort(key=lambda x: x[1] or 0)
+        state, cuts = None, sorted(r.sample(range(1, 119), 2))
+        for a, b in zip([0, *cuts], [*cuts, 120]):
+            state = written(spark, h.merge(spark.createDataFrame(data[a:b], EVENT), state))
+        assert rows(state) == whole and rows(h.view(state)) == brute(data)
