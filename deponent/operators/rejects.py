@@ -1,9 +1,10 @@
 """Problem 1: load the valid records of raw CSV files, set the faulty ones apart with a reason.
 
-Stage one runs in Python, once per partition: records are assembled quote-aware and parsed by the
-``csv`` module in strict mode; structural exceptions are captured there. Stage two joins each
-record with the layout of its own file and runs the typed field constructors as Column
-expressions, so the join and the checks stay in the JVM.
+Records of files are assembled quote-aware from their physical lines by running totals of quotes
+(``read_records``); records that come one a row are assembled in the row. Stage one runs in Python,
+once per partition: each record is parsed by the ``csv`` module in strict mode, whose structural
+exceptions are the verdicts. Stage two joins each record with the layout of its own file and runs the
+typed field constructors as Column expressions, so the join and the checks stay in the JVM.
 """
 
 from __future__ import annotations
@@ -13,21 +14,25 @@ import re
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deponent.functions.text import squeeze_name, trim_ws
+from deponent.operators.prefix import prefix_sum
+from deponent.session import materialize
 
 #: Spellings of a column (squeezed) that the typed fields are taken from.
 NAME, AMOUNT, RECEIVED, RESPONSE = ("name",), ("amount", "monthlyamount"), ("receiveddate",), ("responserequired",)
 #: Texts that stand for a missing value.
 MISSING = ("", "null", "unknown")
 
-_CELL = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
-_WELL_QUOTED = re.compile(rf"{_CELL}(?:,{_CELL})*+\Z")
-_CELLS = re.compile(rf"({_CELL})(?:,|\Z)")
+#: A quoted cell, with the comma before it, in a record that the strict reader takes.
+_QUOTED_CELL = re.compile(r'(?:\A|,)"(?:[^"]++|"")*+"')
+#: Signs that may stand for a line break while a record is read.
+_STANDING_IN = range(0xE000, 0xF8FF)
 
 
 def assemble_records(lines: Iterable[str]) -> Iterator[str]:
@@ -48,18 +53,21 @@ def assemble_records(lines: Iterable[str]) -> Iterator[str]:
 
 
 def parse_record(record: str) -> list[str]:
-    """Cells of one record, by the strict csv reader. Raises csv.Error on an open quote or on text
-    beside a quoted cell, also before its opening quote, which the reader itself lets pass. A line
-    break in a cell that isn't quoted, which the reader refuses, is a sign like any other."""
-    quoted_well = '"' not in record or _WELL_QUOTED.match(record)
-    try:
-        cells = next(csv.reader([record], strict=True), [])
-    except csv.Error:
-        if not quoted_well:
-            raise
-        cells = [c[1:-1].replace('""', '"') if c.startswith('"') else c for c in (m[1] for m in _CELLS.finditer(record + ",") if m.end() > m.start())]
-    if not quoted_well:
+    """Cells of one record, by the strict csv reader; what it raises (csv.Error on an open quote or on
+    text after a closing one) is raised. It needs help twice: line breaks, which it takes for the end
+    of a record, are read as other signs and put back; text before an opening quote, which it lets
+    pass, leaves a quote outside the quoted cells and raises."""
+    breaks = {}
+    if "\n" in record or "\r" in record:
+        unused = (chr(c) for c in _STANDING_IN if chr(c) not in record)
+        breaks = {next(unused): b for b in "\r\n"}
+        for sign, b in breaks.items():
+            record = record.replace(b, sign)
+    cells = next(csv.reader([record], strict=True), [])
+    if '"' in record and '"' in _QUOTED_CELL.sub("", record):
         raise csv.Error("text before an opening quote")
+    for sign, b in breaks.items():
+        cells = [c.replace(sign, b) for c in cells]
     return cells
 
 
@@ -82,7 +90,7 @@ def _record(raw: str) -> str:
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(sys.maxsize)
-    kind = pa.list_(pa.string())
+    kind, kept = pa.list_(pa.string()), ["line_id", "file_id", "row_number", "digest"]
     for batch in batches:
         cells: list[list[str] | None] = []
         faults: list[str | None] = []
@@ -94,18 +102,56 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 fault = "quoting"
             cells.append(got)
             faults.append(fault)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in ("line_id", "file_id", "row_number", "raw_line")), pa.array(cells, kind), pa.array(faults, pa.string())],
-            names=["line_id", "file_id", "row_number", "raw_line", "cells", "fault"],
-        )
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(cells, kind), pa.array(faults, pa.string())], names=[*kept, "cells", "fault"])
 
 
 @dataclass(frozen=True)
 class Split:
-    """loaded: record rows with typed columns; failed: records with their reason."""
+    """loaded: record rows with typed columns; failed: (line_id, file_id, row_number, reason, digest) of
+    records with their reason. ``failed_texts`` joins the raw text, for callers who need it."""
 
     loaded: DataFrame
     failed: DataFrame
+    records: DataFrame
+
+    def failed_texts(self) -> DataFrame:
+        """``failed`` with raw_line, of copies that differ in their line end the smallest."""
+        keys = ["line_id", "file_id", "row_number", "digest"]
+        texts = self.records.groupBy(*keys).agg(F.min("raw_line").alias("raw_line"))
+        f, t = self.failed.alias("f"), texts.alias("t")
+        same = [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+        return f.join(t, reduce(lambda a, b: a & b, same)).select("f.line_id", "f.file_id", "f.row_number", "f.reason", "t.raw_line")
+
+
+def assemble_lines(lines: DataFrame, order: list[str]) -> DataFrame:
+    """Physical lines (file_id, line, columns of ``order`` that sort a file's lines) to records (file_id,
+    row_number from 0, raw_line, n_lines, is_open).
+
+    A line break belongs to the record if a quote is open there, which the parity of all quotes
+    before it in the file tells: a running total, as is the number of the record. Both are
+    distributed prefix sums, so a file of any size is cut by many tasks. Of a record whose quote
+    never closes, the rest of its file, only the first line is kept, with is_open and its number of
+    lines. Null lines are empty ones."""
+    counted = lines.withColumn("line", F.coalesce("line", F.lit(""))).withColumn("odd", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).withColumn("odd", F.col("odd") % 2)
+    opened = prefix_sum(counted.select("file_id", *order, "line", "odd"), ["file_id"], order, F.col("odd"), "opened").withColumn("starts", (F.col("opened") % 2 == 0).cast("int"))
+    numbered = prefix_sum(opened, ["file_id"], order, F.col("starts"), "before").withColumn("row_number", (F.col("before") + F.col("starts") - 1).cast("int"))
+    numbered = materialize(numbered.select("file_id", *order, "line", "odd", "starts", "row_number"), "record-lines")
+    never = numbered.groupBy("file_id", "row_number").agg(F.sum("odd").alias("odd")).where("odd % 2 = 1").select(F.col("file_id").alias("_file"), F.col("row_number").alias("_row"))
+    tagged = numbered.join(never, F.col("file_id").eqNullSafe(F.col("_file")) & (F.col("row_number") == F.col("_row")), "left").withColumn("is_open", F.col("_row").isNotNull())
+    kept = F.collect_list(F.when(~F.col("is_open") | (F.col("starts") == 1), F.struct(*order, "line")))
+    grouped = tagged.groupBy("file_id", "row_number").agg(F.array_sort(kept).alias("parts"), F.count(F.lit(1)).alias("n_lines"), F.bool_or("is_open").alias("is_open"))
+    return grouped.select("file_id", "row_number", F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("raw_line"), "n_lines", "is_open")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files as the records that ``split_records`` takes (line_id, artifact_version_id: the file's
+    path, row_number: 0 is the header, raw_line), whatever a file's size: files are read in splits,
+    in which lines keep their order. A record that never closes keeps its first line and fails."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    records = assemble_lines(lines, ["block", "at"])
+    return records.select(F.xxhash64("file_id", "row_number").alias("line_id"), F.col("file_id").alias("artifact_version_id"), "row_number", "raw_line")
 
 
 def _position(names: Column, accepted: tuple[str, ...]) -> Column:
@@ -119,15 +165,24 @@ def _missing(c: Column) -> Column:
 
 def checked_records(lines: DataFrame, *, file_col: str = "artifact_version_id") -> DataFrame:
     """Every data record of ``lines`` (line_id, <file_col>, row_number, raw_line), parsed, joined
-    with its file's header and checked: columns line_id, file_id, row_number, raw_line, reason and
-    the typed fields. ``reason`` is null for a valid record."""
-    picked = lines.select(
+    with its file's header and checked: columns line_id, file_id, row_number, digest (of the text
+    but for its line end), reason and the typed fields. ``reason`` is null for a valid record."""
+    return _checked(_picked(lines, file_col))
+
+
+def _picked(lines: DataFrame, file_col: str) -> DataFrame:
+    raw = F.col("raw_line").cast("string")
+    return lines.select(
         F.col("line_id").cast("bigint").alias("line_id"),
         F.col(file_col).cast("string").alias("file_id"),
         F.col("row_number").cast("int").alias("row_number"),
-        F.col("raw_line").cast("string").alias("raw_line"),
+        raw.alias("raw_line"),
+        F.unhex(F.md5(F.rtrim(raw, F.lit("\r\n")))).alias("digest"),
     ).where(trim_ws(F.col("raw_line")) != "")
-    schema = "line_id bigint, file_id string, row_number int, raw_line string, cells array<string>, fault string"
+
+
+def _checked(picked: DataFrame) -> DataFrame:
+    schema = "line_id bigint, file_id string, row_number int, digest binary, cells array<string>, fault string"
     heads = (
         picked.where("row_number = 0")
         .mapInArrow(_parse_batches, schema)
@@ -160,7 +215,7 @@ def checked_records(lines: DataFrame, *, file_col: str = "artifact_version_id")
         "line_id",
         "file_id",
         "row_number",
-        "raw_line",
+        "digest",
         F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("width").isNull() | (F.size("cells") != F.col("width")), "columns").when(bad_value, "value").alias("reason"),
         name.alias("name"),
         F.when(~_missing(amount), amount).alias("amount_text"),
@@ -182,8 +237,8 @@ def split_records(lines: DataFrame, *, file_col: str = "artifact_version_id") ->
     records merges nothing, each of them is loaded or failed; texts of any length are parsed whole; an empty table gives two empty tables; further input columns are ignored, whatever their
     names. The row-to-header join is on a unique key, so a file that holds a large share of all rows
     is split by adaptive execution without changing the result."""
-    checked = checked_records(lines, file_col=file_col)
-    record = [F.col(c) for c in ("line_id", "file_id", "row_number")] + [F.rtrim("raw_line", F.lit("\r\n")).alias("_record")]
-    failed = checked.where("reason is not null").groupBy(*record, "reason").agg(F.min("raw_line").alias("raw_line")).select("line_id", "file_id", "row_number", "reason", "raw_line")
-    loaded = checked.where("reason is null").withColumn("_record", record[-1]).drop("reason", "raw_line").distinct().drop("_record")
-    return Split(loaded, failed)
+    records = _picked(lines, file_col)
+    checked = _checked(records)
+    failed = checked.where("reason is not null").select("line_id", "file_id", "row_number", "reason", "digest").distinct()
+    loaded = checked.where("reason is null").drop("reason").distinct().drop("digest")
+    return Split(loaded, failed, records)

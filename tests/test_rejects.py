@@ -3,7 +3,8 @@ import csv
 import pytest
 from pyspark.sql import functions as F
 
-from deponent.operators.rejects import assemble_records, parse_record, split_records
+from deponent.operators import rejects
+from deponent.operators.rejects import assemble_lines, assemble_records, parse_record, read_records, split_records
 from tests.conftest import rows
 
 SCHEMA = "line_id bigint, artifact_version_id string, row_number int, raw_line string"
@@ -109,4 +110,52 @@ def test_only_copies_of_a_record_merge(spark):
     out = split_records(spark.createDataFrame([HEAD, *bad, *good, *bad, *good, *again], SCHEMA))
     assert rows(out.failed, "line_id", "row_number", "reason") == sorted(((i, n, "quoting" if raw == '"open' else "columns") for i, f, n, raw in bad), key=repr)
     assert rows(out.loaded, "line_id", "row_number") == sorted(((i, n) for i, f, n, raw in good), key=repr)
-    assert rows(out.failed.where("row_number = 5"), "raw_line") == [("bad",), ("worse",)]
+    assert rows(out.failed_texts().where("row_number = 5"), "raw_line") == [("bad",), ("worse",)]
+
+
+def test_the_strict_reader_decides(monkeypatch):
+    class Refusing:
+        Error = csv.Error
+
+        @staticmethod
+        def reader(lines, strict):
+            assert strict
+            raise csv.Error("refused")
+
+    monkeypatch.setattr(rejects, "csv", Refusing)
+    with pytest.raises(csv.Error, match="refused"):
+        parse_record('a,"b"')
+
+
+def test_lines_are_assembled_as_a_whole_file_is(spark):
+    import random
+
+    r = random.Random(4)
+    files = {f"f{i}": ["".join(r.choice('ab,"') for _ in range(r.randrange(6))) + r.choice(["", "\r"]) for _ in range(r.randrange(1, 60))] for i in range(8)}
+    data = [(f, i, line) for f, lines in files.items() for i, line in enumerate(lines)] + [(None, 0, '"x'), (None, 1, 'y"'), ("null", 0, None)]
+    r.shuffle(data)
+    got = assemble_lines(spark.createDataFrame(data, "file_id string, n int, line string"), ["n"])
+    found = {}
+    for x in got.collect():
+        found.setdefault(x["file_id"], []).append((x["row_number"], x["raw_line"], x["is_open"], x["n_lines"]))
+    assert found.pop(None) == [(0, '"x\ny"', False, 2)] and found.pop("null") == [(0, "", False, 1)]
+    for f, lines in files.items():
+        want = list(assemble_records(line + "\n" for line in lines))
+        mine = sorted(found[f])
+        assert [n for n, *_ in mine] == list(range(len(want))) and sum(x[3] for x in mine) == len(lines)
+        for (_, raw, is_open, n), record in zip(mine, want):
+            assert raw.rstrip("\r\n") == record or (is_open and record.startswith(raw) and n == record.count("\n"))
+
+
+def test_files_are_loaded_whatever_their_splits(spark, tmp_path):
+    rows_ = [f'"N{i}\r\nof ""{i}""",{i}.5,2024-01-01,true' if i % 3 else f"N{i},{i},," for i in range(400)]
+    (tmp_path / "a.csv").write_bytes(("name,amount,received_date,response_required\r\n" + "\r\n".join(rows_) + "\r\nbad\r\n").encode())
+    (tmp_path / "b.csv").write_bytes(b'name\nAnn\n"open\nBo\nCy\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        out = split_records(read_records(spark, str(tmp_path)))
+        assert out.loaded.count() == 401 and out.loaded.where("name = 'N1\r\nof \"1\"'").count() == 1
+        assert rows(out.failed_texts(), "reason", "raw_line") == [("columns", "bad\r"), ("quoting", '"open')]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
