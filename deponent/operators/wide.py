@@ -104,10 +104,11 @@ def wide_table(claims: DataFrame, types: DataFrame) -> DataFrame:
     """One row for each subject of a case, one typed column per attribute of ``types``.
 
     Claims are pre-aggregated to the latest usable cell of each entity and attribute (map-side
-    combined: a hot entity never meets unaggregated). The entity-by-attribute grid is completed by
-    exploding the attribute positions, cells are left-joined to it on the partitioning the
-    aggregation left behind, and each entity's cells come together as an array sorted by position,
-    at most one element an attribute; fixed indices of it are cast to the declared types.
+    combined: a hot entity never meets unaggregated) and brought together by entity, at most one cell
+    an attribute. There the grid is completed: an entity has one element for each attribute
+    position, in their order, that takes the value of its position, as a left join does, or null;
+    fixed indices of this array are cast to the declared types. Claims are read once, and no row of
+    the grid is shuffled.
 
     Defined results: keys that differ in case, padding or separators are one; an entity all of whose
     claims are unusable has a row of nulls; null case or subject: ignored; null, empty, broken or
@@ -120,9 +121,10 @@ def wide_table(claims: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def _gathered(claims: DataFrame, attributes: list[tuple[str, str]]) -> DataFrame:
-    cells = latest_cells(claims, attributes)
-    grid = cells.select(*_ENTITY).distinct().select(*_ENTITY, F.explode(F.sequence(F.lit(0), F.lit(len(attributes) - 1)) if attributes else F.array().cast("array<int>")).alias("position"))
-    return grid.join(cells, [*_ENTITY, "position"], "left").groupBy(*_ENTITY).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "cell"))), lambda x: x["cell"]).alias("cells"))
+    values = F.map_from_entries(F.collect_list(F.when(F.col("position").isNotNull() & F.col("cell").isNotNull(), F.struct("position", "cell"))))
+    by_entity = latest_cells(claims, attributes).groupBy(*_ENTITY).agg(values.alias("values"))
+    grid = F.sequence(F.lit(0), F.lit(len(attributes) - 1)) if attributes else F.array().cast("array<int>")
+    return by_entity.select(*_ENTITY, F.transform(grid, lambda position: F.try_element_at("values", position)).alias("cells"))
 
 
 def _project(gathered: DataFrame, attributes: list[tuple[str, str]]) -> DataFrame:
