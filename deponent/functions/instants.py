@@ -7,9 +7,6 @@ from datetime import datetime, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
-#: Longest text (after trimming) that may hold a time; a longer one is prose.
-LONGEST = 80
-
 #: Names of months, by language (English, German, French, Spanish).
 MONTH_NAMES = (
     "january february march april may june july august september october november december",
@@ -142,11 +139,12 @@ def _date(m: re.Match[str], order: str | None) -> tuple[int, int, int] | None:
 def parse_instant(text: str | None, local_zone: str | None = None, date_order: str | None = None) -> str | None:
     """``YYYY-MM-DDTHH:MM:SS.mmmZ`` for a text with a time of day, ``YYYY-MM-DD`` for one without,
     None if it is not resolvable: no such day or time, no zone known, or a local time without offset
-    or abbreviation that occurs twice or never."""
+    or abbreviation that occurs twice or never. Patterns are anchored at the first sign, so prose of any
+    length fails there."""
     if text is None:
         return None
     t = " ".join(text.split())
-    if not t or len(t) > LONGEST:
+    if not t:
         return None
     if m := _NUMBER.match(t):
         return _number(m)

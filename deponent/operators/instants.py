@@ -10,16 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deponent.functions.instants import LONGEST, parse_instant
+from deponent.functions.instants import parse_instant
 from deponent.functions.text import trim_ws
 from deponent.session import materialize, scratch_path
 
 _KEY = ["raw", "zone", "date_order"]
 _ENTRY = "raw string, zone string, date_order string, n bigint, normalized string"
+#: What every date or time text begins with: a number after at most two words.
+BEGINNING = r"(?U)^(?:[\w&&[^0-9_]]+\.?,? ){0,2}[0-9]"
 #: A value is hot if it holds more than this part of all rows, so at most 1 / HOT values are.
 HOT = 1 / 1000
 
@@ -32,10 +33,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _known(wanted: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return wanted.sparkSession.read.schema(_ENTRY).parquet(path)
-    except AnalysisException:
+    """The dictionary at ``path``, None only where there is no such path: one that can't be read fails."""
+    spark = wanted.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return None
+    found = spark.read.parquet(path)
+    if set(found.columns) != {c.split()[0] for c in _ENTRY.split(", ")}:
+        raise ValueError(f"{path} is no dictionary of instants")
+    return found.select(*(c.split()[0] for c in _ENTRY.split(", ")))
 
 
 def extend_dictionary(wanted: DataFrame, path: str) -> DataFrame:
@@ -56,20 +62,20 @@ def normalise(rows: DataFrame, dictionary: str | None = None) -> DataFrame:
     """``rows`` (table_name, record_key, raw, zone, date_order) to (table_name, record_key,
     normalized), one row for each resolvable value.
 
-    Defined results: null, empty, overlong (more than 80 characters) and digitless texts are not
-    resolvable; a null zone means no zone known, a null date order leaves numeric dates
+    Defined results: null, empty and digitless texts and prose of any length are not resolvable, white
+    space of any length counts as one space; a null zone means no zone known, a null date order leaves numeric dates
     unresolvable; repeated rows come out once; an empty table gives no rows. A hot value (at most
     1000 can be) is looked up by a broadcast of at most 1000 short entries and its rows are spread by
     record key, so no value gathers its rows in one task."""
     spark = rows.sparkSession
-    raw = trim_ws(F.col("raw"))
+    raw = F.regexp_replace(trim_ws(F.col("raw")), r"(?U)[\s\x1c-\x1f]+", " ")
     cleaned = rows.select(
         F.col("table_name"),
         F.col("record_key"),
         raw.alias("raw"),
         F.coalesce("zone", F.lit("")).alias("zone"),
         F.coalesce("date_order", F.lit("")).alias("date_order"),
-    ).where((F.length("raw") <= 4 * LONGEST) & F.col("raw").rlike("[0-9]"))
+    ).where(F.col("raw").rlike(BEGINNING))
     kept = materialize(cleaned, "instant-rows")
     wanted = kept.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
     path = dictionary or scratch_path(spark, "instant-dictionary")

@@ -82,6 +82,26 @@ def test_values_go_back_to_their_rows(spark):
     assert len(got) == 3003
 
 
+def test_no_length_is_too_long(spark):
+    named = "Wednesday, 1 May 2024 10:00:00.123456789 -03:00 [America/Argentina/ComodRivadavia]"
+    data = [("t", "a", "2024-05-01" + " " * 400 + "10:00Z", None, None), ("t", "b", named, None, None), ("t", "c", "2024-05-01" + "\n" * 100_000, None, None), ("t", "d", "5 rooms " * 50_000, B, "dmy"), ("t", "e", "so " * 3 + "2024-05-01", B, "dmy")]
+    assert len(named) > 80
+    got = rows(normalise(spark.createDataFrame(data, ROWS)))
+    assert got == [("t", "a", "2024-05-01T10:00:00.000Z"), ("t", "b", "2024-05-01T13:00:00.123Z"), ("t", "c", "2024-05-01")]
+    assert got == sorted((t, k, p) for t, k, raw, z, o in data if (p := parse_instant(raw, z, o)))
+
+
+def test_a_dictionary_that_cannot_be_read_is_an_error(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no parquet")
+    wanted = spark.createDataFrame([("2024-05-01", B, "dmy", 2)], "raw string, zone string, date_order string, n bigint")
+    for name in ("other", "broken"):
+        with pytest.raises(Exception):
+            extend_dictionary(wanted, str(tmp_path / name)).count()
+    assert spark.read.parquet(str(tmp_path / "other")).count() == 3
+
+
 def test_empty(spark):
     assert normalise(spark.createDataFrame([], ROWS)).count() == 0
 
