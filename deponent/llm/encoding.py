@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deponent.llm.bpe import PairIndexEncoder
@@ -19,6 +19,7 @@ BLOCK_CHARS = 2_000_000
 MAX_VOCABULARY_BYTES = 16_000_000
 
 _ENCODERS: dict[int, PairIndexEncoder] = {}
+_SHARED: dict[tuple[str, bytes], object] = {}
 
 
 def vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> bytes:
@@ -30,6 +31,16 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> bytes:
         return f.read()
 
 
+def _broadcast(spark: SparkSession, lines: bytes):
+    """One broadcast for each vocabulary of an application, however many frames use it."""
+    key = (spark.sparkContext.applicationId, lines)
+    if key not in _SHARED:
+        for old in [k for k in _SHARED if k[0] != key[0]]:
+            del _SHARED[old]  # of an application that has ended
+        _SHARED[key] = spark.sparkContext.broadcast(lines)
+    return _SHARED[key]
+
+
 def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
     block, size = [], 0
     for t in texts:
@@ -63,7 +74,7 @@ def encode_documents(documents: DataFrame, *, name: str = "byte_bpe_50k", folder
     further columns are ignored."""
     column, kind = ("n_tokens", "int") if count_only else ("ids", "array<int>")
     carried = ["doc_id", *keep]
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary(name, folder))
+    shared = _broadcast(documents.sparkSession, vocabulary(name, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)

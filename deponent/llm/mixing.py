@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deponent.operators.prefix import prefix_sum
 from deponent.session import materialize
 
 #: Largest number of sources of a mix; the plan of a mix is made on the driver and broadcast.
@@ -37,6 +38,14 @@ class Share:
     demand: float
 
 
+def exact_total(targets: list[tuple[str, float, int]], available: dict[str, int]) -> float:
+    """The largest total at which every source that has tokens reaches its share; what sources without
+    any lack goes to the others in proportion, as in ``plan_shares``."""
+    cap = {s: available.get(s, 0) * r for s, w, r in targets if w > 0}
+    able = {s: w for s, w, _ in targets if w > 0 and cap[s] > 0}
+    return min((cap[s] * sum(able.values()) / w for s, w in able.items()), default=0.0)
+
+
 def plan_shares(targets: list[tuple[str, float, int]], available: dict[str, int], total: float | None = None) -> list[Share]:
     """Tokens to take from each source, of ``total`` (default: one pass over the listed sources).
 
@@ -95,20 +104,23 @@ def mix_documents(
     sized: DataFrame,
     targets: DataFrame,
     *,
-    total: float | None = None,
+    total: float | str | None = None,
     schedules: dict[str, tuple[tuple[float, float], ...]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix of documents ``sized`` (doc_id, source, n_tokens) and its report.
 
     mix: (position, source, doc_id, repeat, n_tokens), one row for each time a document is used,
-    range-sorted by position; repeat counts from 0 and stays below the source's max_repeats.
-    report: of each source target_share, max_repeats, tokens at hand, tokens in the mix, passes over
-    the source and the share really reached.
+    range-sorted by position; repeat counts from 0 and stays below the source's max_repeats. ``total``
+    are the tokens to reach (default: one pass over the listed sources), or ``"exact"``: the most at
+    which every source that has tokens reaches its share.
+    report: of each source target_share, max_repeats, tokens at hand, exact_up_to (the total up to
+    which it can hold its share), tokens in the mix, passes over it and the share really reached.
 
     Inside a source documents follow the hash of their id; their token offsets are a prefix sum over
     buckets of about BUCKET_DOCS documents and a running sum inside each, so a source of any size is
     spread over many tasks; the table of bucket offsets has at most (sources x buckets) rows, a
-    20,000th of the documents, and is joined, not collected. Defined results: sources without
+    20,000th of the documents, and is joined, not collected; its offsets are a distributed prefix sum,
+    too. Defined results: sources without
     documents, or with texts of no token only, reach 0; a null source, a document of 0 tokens (empty
     or null text) and sources that aren't listed are not in the mix; a document is whole or not in a
     pass, so a source may exceed its demand by less than its longest document; redelivered rows
@@ -125,7 +137,7 @@ def mix_documents(
     picked, buckets = _bucketed(sized, goal, sized.count())
     per_bucket = materialize(picked.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")), "mix-buckets")
     available = {r["source"]: r["tokens"] for r in per_bucket.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    shares = plan_shares(listed, available, total)
+    shares = plan_shares(listed, available, exact_total(listed, available) if total == "exact" else total)
 
     pieces, passes = [], []
     for s in shares:
@@ -137,7 +149,7 @@ def mix_documents(
     piece = spark.createDataFrame(pieces, "source string, c0 double, c1 double, t0 double, t1 double, w0 double, w1 double")
     taken = spark.createDataFrame(passes, "source string, available bigint, demand double, passes int")
 
-    begin = per_bucket.withColumn("begin", F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("tokens")
+    begin = prefix_sum(per_bucket, ["source"], ["bucket"], F.col("tokens"), "begin").drop("tokens")
     within = W.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").rowsBetween(W.unboundedPreceding, -1)
     placed = picked.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(begin, ["source", "bucket"])
     used = placed.join(F.broadcast(taken), "source").select("source", "doc_id", "n_tokens", "available", "demand", (F.col("begin") + F.col("inside")).alias("first"), F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("repeat"))
@@ -147,11 +159,14 @@ def mix_documents(
     mix = materialize(timed, "mix").orderBy("position", "source", "doc_id", "repeat")
 
     got = mix.groupBy("source").agg(F.sum("n_tokens").alias("mixed"), F.countDistinct("repeat").alias("passes"))
-    plan = spark.createDataFrame([(s.source, s.target_share, s.max_repeats, s.available) for s in shares], "source string, target_share double, max_repeats int, available_tokens bigint")
+    plan = spark.createDataFrame(
+        [(s.source, s.target_share, s.max_repeats, s.available, s.available * s.max_repeats / s.target_share if s.target_share > 0 else None) for s in shares],
+        "source string, target_share double, max_repeats int, available_tokens bigint, exact_up_to double",
+    )
     everything = F.sum("mixed_tokens").over(W.partitionBy())
     report = (
         plan.join(F.broadcast(got), "source", "left")
-        .select("source", "target_share", "max_repeats", "available_tokens", F.coalesce("mixed", F.lit(0)).alias("mixed_tokens"), F.coalesce("passes", F.lit(0)).cast("int").alias("passes"))
+        .select("source", "target_share", "max_repeats", "available_tokens", "exact_up_to", F.coalesce("mixed", F.lit(0)).alias("mixed_tokens"), F.coalesce("passes", F.lit(0)).cast("int").alias("passes"))
         .withColumn("reached_share", F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(0.0))
         .orderBy("source")
     )

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deponent.llm import mixing
-from deponent.llm.mixing import integrate, mix_documents, plan_shares
+from deponent.llm.mixing import exact_total, integrate, mix_documents, plan_shares
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -78,3 +78,14 @@ def test_too_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
     with pytest.raises(ValueError):
         mixed(spark, [], [("a", 0.5, 1), ("b", 0.5, 1)])
+
+
+def test_the_largest_total_at_which_shares_hold(spark):
+    docs = [(i, "big", 1) for i in range(1000)] + [(5000 + i, "small", 1) for i in range(60)]
+    targets = [("big", 0.5, 1), ("small", 0.3, 2), ("gone", 0.2, 9)]
+    assert exact_total(targets, {"big": 1000, "small": 60}) == pytest.approx(120 * 0.8 / 0.3) and exact_total(targets, {}) == 0
+    mix, report = mixed(spark, docs, targets, total="exact")
+    assert report["small"]["mixed_tokens"] == 120 and report["big"]["mixed_tokens"] == 200
+    assert report["big"]["reached_share"] / report["small"]["reached_share"] == pytest.approx(5 / 3)
+    assert report["small"]["exact_up_to"] == pytest.approx(400) and report["gone"]["exact_up_to"] == 0
+    assert mixed(spark, docs, [("gone", 1.0, 2)], total="exact")[0] == []
