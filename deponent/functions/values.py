@@ -149,8 +149,23 @@ def valid_text(c: Column, least: int, most: int) -> Column:
 
 
 def valid_filename(c: Column) -> Column:
-    """A bare name: one path component."""
-    return F.coalesce((c != "") & ~c.rlike(r"[/\\]") & ~c.isin(".", ".."), F.lit(False))
+    """A bare name of 1 to 255 characters: one path component, which slashes may follow, as they add none."""
+    first = F.substring_index(c, "/", 1)
+    return F.coalesce(valid_text(c, 1, 255) & c.rlike(r"^[^/]+(?:/+\.?)*$") & ~first.isin(".", ".."), F.lit(False))
+
+
+def valid_decimal(coefficient: Column, scale: Column) -> Column:
+    return F.coalesce(coefficient.isNotNull() & scale.between(0, MAX_SCALE), F.lit(False))
+
+
+def valid_money(coefficient: Column, scale: Column, currency: Column) -> Column:
+    """A decimal and three upper-case letters."""
+    return valid_decimal(coefficient, scale) & F.coalesce(currency.rlike(r"^[A-Z]{3}\z"), F.lit(False))
+
+
+def valid_confidence(c: Column) -> Column:
+    """From 0 to 1; a missing one is valid, NaN isn't."""
+    return F.coalesce((c >= 0) & (c <= 1), F.lit(True))
 
 
 def deterministic_id(kind_: str, *parts: Column) -> Column:

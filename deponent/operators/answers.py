@@ -34,16 +34,21 @@ def asks_what_is_due(question: Column) -> Column:
     return F.coalesce(q.contains(DUE_PHRASES[0]) | q.contains(DUE_PHRASES[1]) | q.contains(DUE_PHRASES[2]), F.lit(False))
 
 
+def _last_satisfied(evaluations: DataFrame) -> DataFrame:
+    """(case_id, e): the last satisfied evaluation of each case, by time and id."""
+    last = F.max(F.struct("evaluated_at_ms", "evaluation_id", "rule_id", "title", F.col("due_date").cast("string").alias("due"), "n_inputs"))
+    return evaluations.where("result = 'satisfied'").groupBy("case_id").agg(last.alias("e"))
+
+
 def due_answers(questions: DataFrame, evaluations: DataFrame) -> DataFrame:
-    """Answers (question_id, case_id, mode, statement, evaluation_id) of the questions that ask for what is
-    due: the last satisfied evaluation (case_id, evaluation_id, result, title, due_date,
-    evaluated_at_ms) of the case, by time and id; unknown where it has none."""
+    """Answers (question_id, case_id, mode, statement, n_claims, evaluation_id) of the questions that ask
+    for what is due: the last satisfied evaluation (case_id, rule_id, evaluation_id, result, title,
+    due_date, n_inputs, evaluated_at_ms) of the case, by time and id; unknown where it has none."""
     asked = questions.where(asks_what_is_due(F.col("question"))).select("question_id", "case_id")
-    last = evaluations.where("result = 'satisfied'").groupBy("case_id").agg(F.max(F.struct("evaluated_at_ms", "evaluation_id", "title", F.col("due_date").cast("string").alias("due"))).alias("e"))
-    found = asked.join(last, "case_id", "left")
+    found = asked.join(_last_satisfied(evaluations), "case_id", "left")
     mode = F.when(F.col("e").isNull(), "unknown").otherwise("established")
     sentence = F.when(F.col("e").isNull(), STATEMENTS["unknown"]).otherwise(F.format_string(DUE_STATEMENT, F.col("e.title"), F.coalesce("e.due", F.lit(NO_DATE))))
-    return found.select("question_id", "case_id", mode.alias("mode"), sentence.alias("statement"), F.col("e.evaluation_id").alias("evaluation_id"))
+    return found.select("question_id", "case_id", mode.alias("mode"), sentence.alias("statement"), F.coalesce("e.n_inputs", F.lit(0)).cast("bigint").alias("n_claims"), F.col("e.evaluation_id").alias("evaluation_id"))
 
 
 def grounded_claims(claims: DataFrame, log: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,14 +59,14 @@ def grounded_claims(claims: DataFrame, log: DataFrame, edges: DataFrame) -> Data
 
 def answers(questions: DataFrame, claims: DataFrame) -> DataFrame:
     """Answer of each question over the claims (with current_state) of its case: (question_id, mode,
-    statement, n_claims, n_values, first_claim_id, last_claim_id). Questions for what is due belong to
-    ``due_answers``.
+    statement, n_claims, n_values, first_claim_id, last_claim_id). Questions for what is due are left
+    out: they belong to ``due_answers``.
 
     A predicate matches if the lower-case question contains it (as it does anywhere in a word). Modes:
     unknown (no match), conflicting (several known values), established (all verified), suggested (any
     inferred or corroborated), else claimed. Claims of all states take part. Predicates are matched to
     questions on distinct pairs of case and predicate, so no claim takes part in the text match."""
-    asked = questions.select("question_id", "case_id", ascii_lower(F.col("question")).alias("_q"))
+    asked = questions.where(~asks_what_is_due(F.col("question"))).select("question_id", "case_id", ascii_lower(F.col("question")).alias("_q"))
     predicates = claims.select("case_id", "predicate").distinct()
     matched = asked.join(predicates, "case_id").where(F.col("_q").contains(ascii_lower(F.col("predicate")))).select("question_id", "case_id", "predicate")
     value = F.when(knowledge(F.col("normalized_value")) == "known", F.col("normalized_value"))
@@ -77,12 +82,26 @@ def answers(questions: DataFrame, claims: DataFrame) -> DataFrame:
     return out.select("question_id", "case_id", mode.alias("mode"), statement(mode).alias("statement"), F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("n_values", F.lit(0)).alias("n_values"), "first_claim_id", "last_claim_id")
 
 
-def citations(questions: DataFrame, grounded: DataFrame) -> DataFrame:
+def query(questions: DataFrame, claims: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """The answer of each question, its intent first: what is due comes from ``evaluations``, anything
+    else from ``claims`` (with current_state). Columns of ``answers`` and evaluation_id."""
+    by_claims = answers(questions, claims).withColumn("evaluation_id", F.lit(None).cast("string"))
+    due = due_answers(questions, evaluations).withColumn("n_values", F.lit(0).cast("bigint"))
+    id_type = by_claims.schema["first_claim_id"].dataType
+    return by_claims.unionByName(due.withColumns({c: F.lit(None).cast(id_type) for c in ("first_claim_id", "last_claim_id")}))
+
+
+def citations(questions: DataFrame, grounded: DataFrame, evaluations: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
     """(question_id, claim_id, provenance_id, evidence_ids) of every claim that an answer rests on, one
-    row a citation: an answer of any size stays distributed."""
-    asked = questions.select("question_id", "case_id", ascii_lower(F.col("question")).alias("_q"))
+    row a citation: an answer of any size stays distributed. Where ``evaluations`` and their ``used``
+    inputs are given, a question for what is due cites the inputs of its evaluation."""
+    asked = questions.where(~asks_what_is_due(F.col("question"))).select("question_id", "case_id", ascii_lower(F.col("question")).alias("_q"))
     matched = asked.join(grounded.select("case_id", "predicate").distinct(), "case_id").where(F.col("_q").contains(ascii_lower(F.col("predicate")))).select("question_id", "case_id", "predicate")
-    return matched.join(grounded, ["case_id", "predicate"]).select("question_id", "claim_id", "provenance_id", "evidence_ids")
+    cited = matched.join(grounded, ["case_id", "predicate"]).select("question_id", F.col("claim_id").cast("string").alias("claim_id"), "provenance_id", "evidence_ids")
+    if evaluations is None or used is None:
+        return cited
+    due = questions.where(asks_what_is_due(F.col("question"))).select("question_id", "case_id").join(_last_satisfied(evaluations).select("case_id", "e.rule_id"), "case_id")
+    return cited.unionByName(due.join(used, ["case_id", "rule_id"]).select("question_id", "claim_id", F.lit(None).cast("string").alias("provenance_id"), "evidence_ids"))
 
 
 def lineage(claims: DataFrame, versions: DataFrame, artifacts: DataFrame, sources: DataFrame) -> DataFrame:

@@ -7,10 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds of failure, of the engine and of extraction.
-FAILURES = ("invalid_input", "not_found", "conflict", "unsupported", "too_large", "storage", "internal")
-EXTRACTION_FAILURES = ("unsupported_format", "unreadable_artifact", "malformed_input", "no_observations", "validation_rejected", "internal")
-
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows of ``child`` whose non-null ``key`` has no parent."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deponent.functions.codecs import code
 from deponent.functions.values import deterministic_id, sha256_hex, storage_key, valid_filename, valid_storage_key, valid_text
 from deponent.operators.prefix import prefix_sum
+from deponent.sources.scans import MAX_BYTES
 
 
 def create_cases(requests: DataFrame, at_ms: int) -> tuple[DataFrame, DataFrame]:
@@ -43,15 +47,18 @@ def dispositions(deliveries: DataFrame, existing: DataFrame | None = None) -> Da
     return met.withColumn("disposition", F.when(~is_first, "exact_duplicate").when(F.col("version_number") == 1, "new_artifact").otherwise("new_version")).drop("first_seq")
 
 
-def check_requests(requests: DataFrame, max_bytes: int = 26_214_400) -> tuple[DataFrame, DataFrame]:
-    """Ingest requests (source_key, connector, locator, media_type, original_filename, content) split
-    before anything is stored into accepted ones and refused ones with their reason."""
-    reason = (
-        F.when(~valid_text(F.col("source_key"), 1, 2000) | ~valid_text(F.col("connector"), 1, 300) | ~valid_text(F.col("locator"), 1, 2000) | ~valid_text(F.col("media_type"), 1, 300), "invalid_input")
-        .when(F.col("original_filename").isNotNull() & ~valid_filename(F.col("original_filename")), "invalid_input")
-        .when(F.length("content") > max_bytes, "too_large")
-    )
+def check_requests(requests: DataFrame, cases: DataFrame | None = None, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Ingest requests (source_key, connector, locator, media_type, original_filename, content and, where
+    ``cases`` are given, case_id) split before anything is stored into accepted ones and refused ones
+    with their reason: texts out of bounds, then size, then a case that isn't there. A missing
+    file name or content is no fault."""
+    short = [~valid_text(F.col(c), 1, most) for c, most in (("source_key", 2048), ("connector", 100), ("locator", 2048), ("media_type", 255))]
+    named = F.col("original_filename").isNotNull() & ~valid_filename(F.col("original_filename"))
+    reason = F.when(reduce(lambda a, b: a | b, short) | named, code("failure", "invalid_input")).when(F.octet_length("content") > max_bytes, code("failure", "too_large"))
     checked = requests.withColumn("reason", reason)
+    if cases is not None:
+        there = cases.select(F.col("id").alias("case_id"), F.lit(True).alias("_there")).where("case_id is not null").distinct()
+        checked = checked.join(there, "case_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_there").isNull(), code("failure", "not_found")).otherwise(F.col("reason"))).drop("_there")
     return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
 
 
@@ -66,9 +73,11 @@ def upsert_sources(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def blobs(contents: DataFrame) -> DataFrame:
-    """One row for each distinct content: (content_sha256, storage_key, content_length, content)."""
-    hashed = contents.select(sha256_hex(F.col("content")).alias("content_sha256"), "content")
-    return hashed.groupBy("content_sha256").agg(F.any_value("content").alias("content")).select("content_sha256", storage_key(F.col("content_sha256")).alias("storage_key"), F.octet_length("content").cast("bigint").alias("content_length"), "content")
+    """One row for each distinct content: (content_sha256, storage_key, content_length, content). Where
+    the content isn't selected, only hashes and lengths are shuffled."""
+    hashed = contents.select(sha256_hex(F.col("content")).alias("content_sha256"), F.octet_length("content").cast("bigint").alias("n"), "content")
+    once = hashed.groupBy("content_sha256").agg(F.max("n").alias("content_length"), F.any_value("content").alias("content"))
+    return once.select("content_sha256", storage_key(F.col("content_sha256")).alias("storage_key"), "content_length", "content")
 
 
 def verified_read(stored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,17 +1,20 @@
-"""Queries of the evidence operators over the project's own tables, and their SQL.
+"""Queries of scans, claims and checks over the project's own tables, and their SQL.
 
-Claims are the distinct rows of extracted_fields, claim_id is field_id. Their states come from the
-extraction's confidence: 0.8 and more counts as verified, less than 0.3 as rejected.
+Claims are the rows of extracted_fields, one for each field_id, which is the claim_id. Reviews come
+from the extraction's confidence: 0.8 and more counts as verified, less than 0.3 as rejected.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deponent.functions import values as V
+from deponent.functions.codecs import CODES, is_code
 from deponent.operators import answers as A
-from deponent.operators import checks, claims, ingest, rules, state
+from deponent.operators import checks, claims, ingest, state
 from deponent.sources import scans
 from deponent.sources.tables import table
 
@@ -19,7 +22,7 @@ from deponent.sources.tables import table
 def _claims(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "extracted_fields")
     picked = f.select(F.col("field_id").alias("claim_id"), "case_id", "subject_key", "predicate", "normalized_value", "artifact_version_id", F.col("extracted_at_ms").alias("created_at_ms"), F.col("extraction_confidence").alias("confidence"))
-    return picked.distinct().withColumn("initial_state", F.lit("extracted"))
+    return picked.dropDuplicates(["claim_id"]).withColumn("initial_state", F.lit("extracted"))
 
 
 _SQL_CLAIMS = """
@@ -45,7 +48,7 @@ def q_text_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TEXT_SCAN = r"""
-WITH t AS (SELECT o_orderkey AS artifact_id, concat('order_date: ', strftime(o_orderdate, '%Y-%m-%d'), chr(10), 'status: ', o_orderstatus, chr(13), chr(10), 'prioé: ', o_orderpriority, chr(10), ': x', chr(10), 'note:  ', chr(10)) AS text FROM orders),
+WITH t AS (SELECT CAST(o_orderkey AS varchar) AS artifact_id, concat('order_date: ', strftime(o_orderdate, '%Y-%m-%d'), chr(10), 'status: ', o_orderstatus, chr(13), chr(10), 'prioé: ', o_orderpriority, chr(10), ': x', chr(10), 'note:  ', chr(10)) AS text FROM orders),
 l AS (SELECT artifact_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS raw FROM t),
 p AS (SELECT *, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY artifact_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, rtrim(raw, chr(13)) AS line FROM l),
 k AS (SELECT *, trim(split_part(line, ':', 1)) AS predicate, trim(line[instr(line, ':') + 1:]) AS original_value FROM p WHERE contains(line, ':'))
@@ -185,20 +188,31 @@ UNION ALL SELECT CAST(o_custkey AS varchar), CAST(o_orderkey AS varchar), 'o_ord
 """
 
 
+#: The fields of a simple record, by column number.
+_RECORD_FIELDS = ("name", "monthly_amount", "received_date")
+
+
 def q_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of all six kinds of rows that the fields of CSV records make."""
-    r = table(spark, d, "simple_records").where("name is not null and artifact_version_id is not null and row_number is not null")
+    """Ids of all six kinds of rows that the fields of the simple records make, whatever is missing."""
+    r = table(spark, d, "simple_records").distinct()
     none_l, none_i = F.lit(None).cast("bigint"), F.lit(None).cast("int")
-    f = r.select("artifact_version_id", F.concat(F.lit("row:"), "row_number").alias("subject_key"), F.lit("name").alias("predicate"), F.col("name").alias("original_value"), V.normalized(F.col("name")).alias("normalized_value"), F.lit("name").alias("source_field"), none_i.alias("paragraph_number"), none_l.alias("text_span_start"), none_l.alias("text_span_end"), "row_number", F.lit(0).alias("column_number")).distinct()
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("predicate"), F.col(n).alias("original_value"), F.lit(i).alias("column_number")) for i, n in enumerate(_RECORD_FIELDS)))).alias("x")
+    f = r.select("artifact_version_id", "row_number", cells).select("artifact_version_id", F.concat(F.lit("row:"), "row_number").alias("subject_key"), "x.*", "row_number").where("original_value is not null").distinct()
+    f = V.with_value(f, "original_value").withColumns({"source_field": F.col("predicate"), "paragraph_number": none_i, "text_span_start": none_l, "text_span_end": none_l})
     made = claims.fan_out(f, F.lit("case_1"), F.col("artifact_version_id"), "filesystem", ("core", "1"), 1, "tester")
-    ids = made["evidence_edges"].select(F.col("from_id").alias("claim_id"), F.col("to_id").alias("evidence_id"))
-    return ids.join(made["claims"].select(F.col("id").alias("claim_id"), "subject_key", "provenance_id"), "claim_id")
+    ids = {"provenance_records": "id", "observations": "provenance_id", "claims": "provenance_id", "evidence": "provenance_id", "evidence_edges": "to_id", "audit_events": "target_id"}
+    own = {"evidence_edges": "from_id"}
+    return reduce(DataFrame.unionByName, [made[t].select(F.lit(t).alias("kind"), F.col(own.get(t, "id")).alias("id"), F.col(ref).alias("refers_to")) for t, ref in ids.items()])
 
 
 _FAN_OUT = """
-WITH f AS (SELECT DISTINCT artifact_version_id AS v, concat('row:', row_number) AS s, name, row_number AS n FROM simple_records WHERE name IS NOT NULL AND artifact_version_id IS NOT NULL AND row_number IS NOT NULL),
-k AS (SELECT *, concat(chr(0), v, chr(0), s, chr(0), 'name', chr(0), 'name|||', n, '|0', chr(0), name) AS parts FROM f)
-SELECT concat('claim_', left(sha256(concat('claim', parts)), 32)) AS claim_id, concat('evidence_', left(sha256(concat('evidence', parts)), 32)) AS evidence_id, s AS subject_key, concat('provenance_', left(sha256(concat('provenance', parts)), 32)) AS provenance_id FROM k
+WITH f AS (SELECT DISTINCT artifact_version_id AS v, row_number AS n, x.p AS p, x.v AS value, x.c AS c FROM (
+    SELECT DISTINCT artifact_version_id, row_number, unnest([{'p': 'name', 'v': name, 'c': 0}, {'p': 'monthly_amount', 'v': monthly_amount, 'c': 1}, {'p': 'received_date', 'v': received_date, 'c': 2}]) AS x FROM simple_records) WHERE x.v IS NOT NULL),
+k AS (SELECT v || chr(0) || ('row:' || n) || chr(0) || p || chr(0) || concat(p, '|||', n, '|', c) || chr(0) || value AS parts FROM f),
+i AS (SELECT list_transform(['provenance', 'observation', 'claim', 'evidence'], lambda t: t || '_' || left(sha256(t || chr(0) || parts), 32)) AS id FROM k)
+SELECT x.kind, x.id, x.refers_to FROM (SELECT unnest([{'kind': 'provenance_records', 'id': id[1], 'refers_to': id[1]}, {'kind': 'observations', 'id': id[2], 'refers_to': id[1]}, {'kind': 'claims', 'id': id[3], 'refers_to': id[1]},
+  {'kind': 'evidence', 'id': id[4], 'refers_to': id[1]}, {'kind': 'evidence_edges', 'id': id[3], 'refers_to': id[4]},
+  {'kind': 'audit_events', 'id': 'audit_' || left(sha256('audit' || chr(0) || 'claim.record' || chr(0) || id[3]), 32), 'refers_to': id[3]}]) AS x FROM i)
 """
 
 
@@ -233,17 +247,23 @@ GROUP BY b.claim_id
 """
 
 
+#: Claims before this moment are prior ones, later ones new; those without time are prior.
+_CUT = 1_650_000_000_000
+
+
 def q_incremental_links(spark: SparkSession, d: str) -> DataFrame:
     c = _claims(spark, d)
-    late = F.col("created_at_ms") >= 1_650_000_000_000
-    return claims.incremental_links(c.where(late), c.where(~late))
+    late = F.coalesce("created_at_ms", F.lit(0)) >= _CUT
+    return claims.incremental_links(c.where(late), c.where(~late), _state_log(c))
 
 
 _INCREMENTAL = f"""
 WITH {_SQL_CLAIMS},
-old AS (SELECT case_id, subject_key, predicate, normalized_value, min(claim_id) AS class_id, count(*) AS members FROM known WHERE created_at_ms < 1650000000000 GROUP BY ALL)
-SELECT n.claim_id, o.class_id, o.members, CASE WHEN n.normalized_value = o.normalized_value THEN 'corroborates' ELSE 'contradicts' END AS relationship
-FROM known n JOIN old o USING (case_id, subject_key, predicate) WHERE n.created_at_ms >= 1650000000000
+m AS (SELECT * FROM known WHERE created_at_ms >= {_CUT} OR state <> 'rejected'),
+k AS (SELECT case_id, subject_key, predicate, normalized_value, min(claim_id) AS class_id, count(*) AS members FROM m GROUP BY ALL),
+j AS (SELECT n.claim_id, k.class_id, k.members - CASE WHEN n.normalized_value = k.normalized_value THEN 1 ELSE 0 END AS members, CASE WHEN n.normalized_value = k.normalized_value THEN 'corroborates' ELSE 'contradicts' END AS relationship
+  FROM known n JOIN k USING (case_id, subject_key, predicate) WHERE n.created_at_ms >= {_CUT})
+SELECT * FROM j WHERE members > 0
 """
 
 
@@ -257,144 +277,12 @@ def q_active_claims(spark: SparkSession, d: str) -> DataFrame:
     return state.active_claims(c, _state_log(c)).select("claim_id", "current_state")
 
 
-def _decisions(c: DataFrame) -> DataFrame:
-    picked = F.when(F.col("confidence") >= 0.8, "verified").when(F.col("confidence") < 0.3, "rejected").when(F.col("confidence").isNotNull(), "needs_more_evidence")
-    return c.select("claim_id", picked.alias("decision"), F.lit("reviewer").alias("actor"), (F.col("created_at_ms") + 1).alias("decided_at_ms")).where("decision is not null")
-
-
-def q_review_outcome(spark: SparkSession, d: str) -> DataFrame:
-    c = _claims(spark, d)
-    made = state.review(_decisions(c), c)
-    facts = made["facts"].select("claim_id", F.lit("fact").alias("state"))
-    return made["claim_state_changes"].select("claim_id", "state").unionByName(facts).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("claim_id").cast("bigint").alias("ids"))
-
-
-_REVIEW = f"""
-WITH {_SQL_CLAIMS}, s AS (SELECT claim_id, CASE WHEN confidence >= 0.8 THEN 'verified' WHEN confidence < 0.3 THEN 'rejected' ELSE 'unresolved' END AS state FROM claims WHERE confidence IS NOT NULL)
-SELECT state, count(*) AS n, CAST(sum(claim_id) AS bigint) AS ids FROM (SELECT * FROM s UNION ALL SELECT claim_id, 'fact' FROM s WHERE state = 'verified') GROUP BY state
-"""
-
-
-def _edges(c: DataFrame) -> DataFrame:
-    return c.select(F.col("claim_id").alias("from_id"), F.lit("supported_by").alias("relationship"), F.concat(F.lit("evidence_"), "claim_id").alias("to_id"))
-
-
-def q_corrections(spark: SparkSession, d: str) -> DataFrame:
-    """States and affected evaluations of corrections: claims of confidence under 0.3 are corrected, an
-    evaluation rests on the evidence of each case and predicate."""
-    c = _claims(spark, d)
-    fixes = c.where("confidence < 0.3").select("claim_id", F.lit("none").alias("corrected_text"), F.lit('{"knowledge":"unknown"}').alias("corrected_value"), F.lit("reviewer").alias("actor"), F.lit(7).cast("bigint").alias("corrected_at_ms"))
-    rests = c.select(F.concat(F.lit("evidence_"), "claim_id").alias("evidence_id"), F.concat_ws("/", "case_id", "predicate").alias("evaluation_id"))
-    made = state.correct(fixes, c, _edges(c), rests)
-    states = made["claim_state_changes"].groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-    affected = made["affected"].agg(F.count(F.lit(1)).alias("n"), F.lit("affected").alias("state")).select("state", "n")
-    return states.unionByName(affected)
-
-
-_CORRECTIONS = f"""
-WITH {_SQL_CLAIMS}, x AS (SELECT * FROM claims WHERE confidence < 0.3)
-SELECT s.state, s.n FROM (SELECT unnest(['superseded', 'verified', 'affected']) AS state, count(*) AS n FROM x) s WHERE s.n > 0 OR s.state = 'affected'
-"""
-
-
-def q_affected_derivations(spark: SparkSession, d: str) -> DataFrame:
-    c = _claims(spark, d)
-    rests = c.select(F.concat(F.lit("evidence_"), "claim_id").alias("evidence_id"), F.concat_ws("/", "case_id", "predicate").alias("evaluation_id"))
-    return state.affected_derivations(c.where("confidence < 0.3"), _edges(c), rests)
-
-
-_TRUE = '{"knowledge":"known","value":{"type":"boolean","value":true}}'
-_RULE = [{"rule_id": "notice", "conditions": [("document", "response_required", _TRUE), ("document", "active", _TRUE)], "anchor_predicate": "received_date", "days_after": 10}]
-
-
-def _as_documents(c: DataFrame) -> DataFrame:
-    return claims.known_claims(c).withColumn("case_id", F.concat_ws("/", "case_id", "subject_key")).withColumn("subject_key", F.lit("document"))
-
-
-def q_rule_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Each subject as one document, its known claims taken as verified, against the sample rule."""
-    c = _as_documents(_claims(spark, d))
-    out = rules.evaluate(c, c, _RULE)
-    return out.select("case_id", "rule_id", "result", "explanation", F.col("due_date").cast("string").alias("due_date"), "n_inputs")
-
-
-_RULE_EVAL = f"""
-WITH {_SQL_CLAIMS}, v AS (SELECT * REPLACE (concat(case_id, '/', subject_key) AS case_id) FROM known), cases_ AS (SELECT DISTINCT case_id FROM v),
-cond AS (SELECT unnest([{{'pos': 0, 'predicate': 'response_required'}}, {{'pos': 1, 'predicate': 'active'}}]) AS c),
-per AS (SELECT k.case_id, c.pos, c.predicate, count(v.claim_id) AS n, count(CASE WHEN v.normalized_value = '{_TRUE}' THEN 1 END) AS hits
-  FROM cases_ k CROSS JOIN cond LEFT JOIN v ON v.case_id = k.case_id AND v.predicate = c.predicate GROUP BY ALL),
-verdict AS (SELECT case_id, bool_or(hits > 0 AND hits < n) AS disagree, string_agg(CASE WHEN n = 0 THEN predicate END, ', ' ORDER BY pos) AS missing, string_agg(CASE WHEN n > 0 AND hits = 0 THEN predicate END, ', ' ORDER BY pos) AS failed FROM per GROUP BY case_id),
-days AS (SELECT case_id, CASE WHEN json_valid(normalized_value) AND json_extract_string(normalized_value, '$.value.type') = 'date' THEN try_cast(concat_ws('-', lpad(json_extract_string(normalized_value, '$.value.value.year'), 4, '0'),
-  lpad(json_extract_string(normalized_value, '$.value.value.month'), 2, '0'), lpad(json_extract_string(normalized_value, '$.value.value.day'), 2, '0')) AS date) END AS day FROM v WHERE predicate = 'received_date'),
-anchor AS (SELECT case_id, min(day) AS a, max(day) AS z FROM days GROUP BY case_id),
-used AS (SELECT case_id, count(DISTINCT claim_id) AS n_inputs FROM v WHERE predicate IN ('response_required', 'active', 'received_date') GROUP BY case_id),
-r AS (SELECT *, CASE WHEN disagree OR coalesce(a <> z, false) THEN 1 WHEN missing IS NOT NULL THEN 2 WHEN failed IS NOT NULL THEN 3 WHEN a IS NULL THEN 4 ELSE 5 END AS o FROM verdict LEFT JOIN anchor USING (case_id) LEFT JOIN used USING (case_id))
-SELECT case_id, 'notice' AS rule_id, CASE o WHEN 3 THEN 'not_satisfied' WHEN 5 THEN 'satisfied' ELSE 'indeterminate' END AS result,
-  CASE o WHEN 1 THEN 'Verified facts disagree; human adjudication is required.' WHEN 2 THEN concat('Required verified facts are missing: ', missing, '.') WHEN 3 THEN concat('Rule conditions were not satisfied: ', failed, '.')
-    WHEN 4 THEN 'A verified deadline anchor (received_date) is missing.' ELSE 'All conditions and the deadline anchor are established by verified evidence.' END AS explanation,
-  CASE WHEN o = 5 THEN CAST(CAST(a + 10 AS date) AS varchar) END AS due_date, coalesce(n_inputs, 0) AS n_inputs FROM r
-"""
-
-
 def q_add_days(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     day, n = F.to_date("o_orderdate"), F.pmod(F.col("o_orderkey"), F.lit(4000)) * 1000
     return o.select("o_orderkey", V.add_days(day, n).cast("string").alias("due"))
 
 
-def q_grounded_claims(spark: SparkSession, d: str) -> DataFrame:
-    c = _claims(spark, d)
-    return A.grounded_claims(c, _state_log(c), _edges(c)).select("claim_id", "current_state", F.array_join("evidence_ids", ",").alias("evidence_ids"))
-
-
-def _questions(c: DataFrame) -> DataFrame:
-    asked = F.explode(F.array(F.lit("What is the monthly_amount?"), F.lit("Count of active items?"), F.lit("Which invented_color?"), F.lit("NOTES please")))
-    return c.select("case_id").distinct().select("case_id", asked.alias("question")).withColumn("question_id", F.concat_ws("/", "case_id", "question"))
-
-
-def q_grounded_answer(spark: SparkSession, d: str) -> DataFrame:
-    c = _claims(spark, d)
-    out = A.answers(_questions(c), state.current_claims(c, _state_log(c)))
-    return out.fillna(-1, ["first_claim_id", "last_claim_id"])
-
-
-_ANSWER = f"""
-WITH {_SQL_CLAIMS}, q AS (SELECT case_id, concat(case_id, '/', question) AS question_id, lower(question) AS question FROM (SELECT DISTINCT case_id FROM claims), (SELECT unnest(['What is the monthly_amount?', 'Count of active items?', 'Which invented_color?', 'NOTES please']) AS question)),
-m AS (SELECT question_id, count(*) AS n_claims, count(DISTINCT CASE WHEN knowledge = 'known' THEN normalized_value END) AS n_values, bool_and(state = 'verified') AS sure, min(claim_id) AS first_claim_id, max(claim_id) AS last_claim_id
-  FROM q JOIN claims USING (case_id) WHERE contains(question, lower(predicate)) GROUP BY 1)
-SELECT question_id, case_id, CASE WHEN n_claims IS NULL THEN 'unknown' WHEN n_values > 1 THEN 'conflicting' WHEN sure THEN 'established' ELSE 'claimed' END AS mode,
-  CASE WHEN n_claims IS NULL THEN 'The system does not have sufficient evidence to determine this.' WHEN n_values > 1 THEN 'Sources disagree about this predicate.' WHEN sure THEN 'The evidence establishes a value for this predicate.' ELSE 'One or more sources claim a value for this predicate.' END AS statement, coalesce(n_claims, 0) AS n_claims, coalesce(n_values, 0) AS n_values, coalesce(first_claim_id, -1) AS first_claim_id, coalesce(last_claim_id, -1) AS last_claim_id
-FROM q LEFT JOIN m USING (question_id)
-"""
-
-
-def q_due_answer(spark: SparkSession, d: str) -> DataFrame:
-    """Each subject asked for its deadline, over the evaluations of the sample rule."""
-    c = _as_documents(_claims(spark, d))
-    made = rules.evaluate(c, c, _RULE).select("case_id", F.concat_ws("/", "case_id", "rule_id").alias("evaluation_id"), "result", F.lit("Answer").alias("title"), "due_date", F.lit(1).cast("bigint").alias("evaluated_at_ms"))
-    asked = c.select("case_id", F.col("case_id").alias("question_id"), F.lit("What is the DEADLINE?").alias("question")).distinct()
-    return A.due_answers(asked, made)
-
-
-def q_citations(spark: SparkSession, d: str) -> DataFrame:
-    c = _claims(spark, d)
-    g = A.grounded_claims(c, _state_log(c), _edges(c)).withColumn("provenance_id", F.col("artifact_version_id"))
-    return A.citations(_questions(c), g).select("question_id", "claim_id", "provenance_id", F.array_join("evidence_ids", ",").alias("evidence_ids"))
-
-
-_DUE = f"""
-SELECT case_id AS question_id, case_id, CASE WHEN result = 'satisfied' THEN 'established' ELSE 'unknown' END AS mode,
-  CASE WHEN result = 'satisfied' THEN concat('Answer is required by a satisfied rule evaluation and is due ', due_date, '.') ELSE 'The system does not have sufficient evidence to determine this.' END AS statement,
-  CASE WHEN result = 'satisfied' THEN concat(case_id, '/notice') END AS evaluation_id
-FROM ({_RULE_EVAL})
-"""
-
-_CITATIONS = f"""
-WITH {_SQL_CLAIMS}, q AS (SELECT case_id, concat(case_id, '/', question) AS question_id, lower(question) AS question FROM (SELECT DISTINCT case_id FROM claims), (SELECT unnest(['What is the monthly_amount?', 'Count of active items?', 'Which invented_color?', 'NOTES please']) AS question))
-SELECT question_id, claim_id, artifact_version_id AS provenance_id, concat('evidence_', claim_id) AS evidence_ids FROM q JOIN claims USING (case_id) WHERE contains(question, lower(predicate))
-"""
-
-
 def q_provenance_lineage(spark: SparkSession, d: str) -> DataFrame:
     return A.lineage(_claims(spark, d), *(table(spark, d, t) for t in ("artifact_versions", "artifacts", "sources")))
 
@@ -418,6 +306,13 @@ def q_violations(spark: SparkSession, d: str) -> DataFrame:
             "confidence": t["provenance_records"].where("confidence < 0 or confidence > 1 or isnan(confidence)"),
             "ids": checks.failing(t["artifacts"], {"id": V.valid_record_id(F.col("id"))}).where("size(errors) > 0"),
             "storage key": t["artifact_versions"].where(~V.valid_storage_key(F.col("storage_key"))),
+            "sha": t["artifact_versions"].where(~V.valid_sha256(F.col("content_sha256"))),
+            "span": t["provenance_records"].where(~V.valid_span(F.col("text_span_start"), F.col("text_span_end"))),
+            "model": t["provenance_records"].where(~V.valid_model(*(F.col(c) for c in ("model_provider", "model_name", "model_version", "model_configuration_json")))),
+            "time": t["provenance_records"].where(~V.valid_time(F.col("extracted_at_ms"))),
+            "filename": t["artifact_versions"].where(F.col("original_filename").isNotNull() & ~V.valid_filename(F.col("original_filename"))),
+            "case status": t["cases"].where(~is_code(F.col("status"), "case_status")),
+            "verification state": t["provenance_records"].where(~is_code(F.col("verification_state"), "verification_state")),
         }
     )
 
@@ -433,7 +328,16 @@ UNION ALL SELECT 'closed without time', count(*) FROM c WHERE status = 'closed'
 UNION ALL SELECT 'confidence', count(*) FROM p WHERE confidence < 0 OR confidence > 1 OR isnan(confidence)
 UNION ALL SELECT 'ids', count(*) FROM a WHERE NOT coalesce(regexp_full_match(id, '[A-Za-z0-9_-]{3,100}'), false)
 UNION ALL SELECT 'storage key', count(*) FROM v WHERE NOT coalesce(regexp_full_match(storage_key, 'blobs/[0-9a-f]{2}/[0-9a-f]{64}') AND storage_key[7:8] = storage_key[10:11], false)
+UNION ALL SELECT 'sha', count(*) FROM v WHERE NOT coalesce(regexp_full_match(content_sha256, '[0-9a-f]{64}'), false)
+UNION ALL SELECT 'span', count(*) FROM p WHERE text_span_end < text_span_start
+UNION ALL SELECT 'model', count(*) FROM p WHERE model_provider IS NULL AND coalesce(model_name, model_version, model_configuration_json) IS NOT NULL
+UNION ALL SELECT 'time', count(*) FROM p WHERE extracted_at_ms < 0
+UNION ALL SELECT 'filename', count(*) FROM v WHERE original_filename IS NOT NULL AND NOT (length(trim(original_filename)) BETWEEN 1 AND 255 AND NOT regexp_matches(original_filename, '[\x00-\x1f\x7f-\x9f]') AND regexp_full_match(original_filename, '[^/]+') AND original_filename NOT IN ('.', '..'))
+UNION ALL SELECT 'case status', count(*) FROM c WHERE NOT coalesce(status IN @case_status, false)
+UNION ALL SELECT 'verification state', count(*) FROM p WHERE NOT coalesce(verification_state IN @verification_state, false)
 """
+for _set in ("case_status", "verification_state"):
+    _VIOLATIONS = _VIOLATIONS.replace(f"@{_set}", str(CODES[_set]))
 
 
 def q_existence(spark: SparkSession, d: str) -> DataFrame:
@@ -464,23 +368,26 @@ SELECT concat('audit_', left(sha256(concat('audit', chr(0), o, chr(0), target)),
 
 
 def q_eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Fields extracted from the loaded simple records, as CSV, against what they should hold."""
-    r = table(spark, d, "simple_records").where("record_id is not null").select("record_id", "name", "received_date").distinct().where("name <> '' and received_date <> ''")
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
-    texts = r.select(F.col("record_id").cast("string").alias("artifact_id"), F.concat(F.lit("name,received_date\n"), quoted("name"), F.lit(","), quoted("received_date")).alias("text"))
+    """What is extracted from all simple records, written as CSV, against what they should hold: an empty
+    or missing cell is expected and not found, an amount is found and not expected."""
+    r = table(spark, d, "simple_records").where("record_id is not null").dropDuplicates(["record_id"]).select(F.col("record_id").cast("string").alias("artifact_id"), *_RECORD_FIELDS)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    texts = r.select("artifact_id", F.concat_ws("\n", F.lit(",".join(_RECORD_FIELDS)), F.concat_ws(",", *(quoted(n) for n in _RECORD_FIELDS))).alias("text"))
     got = scans.typed_fields(scans.scan_csv(texts)[0]).withColumn("subject_key", F.concat_ws("/", "artifact_id", "subject_key"))
-    want = r.select(F.concat(F.col("record_id").cast("string"), F.lit("/row:1")).alias("subject_key"), F.explode(F.array(F.struct(F.lit("name").alias("predicate"), F.lit("text").alias("type")), F.struct(F.lit("received_date").alias("predicate"), F.lit("date").alias("type")))).alias("x")).select("subject_key", "x.*")
+    wanted = F.array(*(F.struct(F.lit(p).alias("predicate"), F.lit(t).alias("type")) for p, t in (("name", "text"), ("received_date", "date"))))
+    want = r.select(F.concat("artifact_id", F.lit("/row:1")).alias("subject_key"), F.explode(wanted).alias("x")).select("subject_key", "x.*")
     return checks.extraction_quality(want, got)
 
 
 _METRICS = r"""
-WITH r AS (SELECT DISTINCT record_id, name, received_date FROM simple_records WHERE record_id IS NOT NULL AND name <> '' AND received_date <> ''),
-k AS (SELECT regexp_replace(name, '^\s+|\s+$', '', 'g') AS n, regexp_replace(received_date, '^\s+|\s+$', '', 'g') AS x FROM r)
-SELECT 2 * count(*) AS expected, 2 * count(*) AS extracted, 2 * count(*) AS right_predicates,
-  CAST(sum(CASE WHEN lower(n) NOT IN ('null', 'unknown', 'true', 'false') AND n[1] <> '$' AND NOT regexp_full_match(n, '-?[0-9]+\.[0-9]+') AND NOT (regexp_full_match(n, '[+-]?[0-9]+') AND try_cast(n AS bigint) IS NOT NULL)
-      AND NOT coalesce(regexp_full_match(n, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND n >= '0001' AND try_cast(n AS date) IS NOT NULL, false) THEN 1 ELSE 0 END)
-    + sum(CASE WHEN regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND x >= '0001' AND try_cast(x AS date) IS NOT NULL THEN 1 ELSE 0 END) AS bigint) AS right_types,
-  2 * count(*) AS located, CAST(0 AS bigint) AS unsupported FROM k
+WITH r AS (SELECT DISTINCT record_id, coalesce(name, '') AS name, coalesce(monthly_amount, '') AS amount, coalesce(received_date, '') AS day FROM simple_records WHERE record_id IS NOT NULL),
+whole AS (SELECT *, name = '' AND amount = '' AND day = '' AS nothing, regexp_replace(name, '^\s+|\s+$', '', 'g') AS n, regexp_replace(day, '^\s+|\s+$', '', 'g') AS x FROM r),
+k AS (SELECT *, lower(n) NOT IN ('null', 'unknown', 'true', 'false') AND left(n, 1) <> '$' AND NOT regexp_full_match(n, '-?[0-9]+\.[0-9]+') AND NOT (regexp_full_match(n, '[+-]?[0-9]+') AND try_cast(n AS bigint) IS NOT NULL)
+      AND NOT coalesce(regexp_full_match(n, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND n >= '0001' AND try_cast(n AS date) IS NOT NULL, false) AS named,
+    coalesce(regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND x >= '0001' AND try_cast(x AS date) IS NOT NULL, false) AS dated FROM whole)
+SELECT 2 * count(*) AS expected, count(CASE WHEN name <> '' THEN 1 END) + count(CASE WHEN amount <> '' THEN 1 END) + count(CASE WHEN day <> '' THEN 1 END) AS extracted,
+  count(CASE WHEN name <> '' THEN 1 END) + count(CASE WHEN day <> '' THEN 1 END) AS right_predicates, count(CASE WHEN name <> '' AND named THEN 1 END) + count(CASE WHEN day <> '' AND dated THEN 1 END) AS right_types,
+  count(CASE WHEN name <> '' THEN 1 END) + count(CASE WHEN amount <> '' THEN 1 END) + count(CASE WHEN day <> '' THEN 1 END) AS located, count(CASE WHEN amount <> '' THEN 1 END) AS unsupported FROM k
 """
 
 QUERIES = {n: f for n, f in globals().items() if n.startswith("q_")}
@@ -505,15 +412,7 @@ SQL = {
     "q_incremental_links": _INCREMENTAL,
     "q_latest_state": "SELECT user_id AS claim_id, arg_max(event_type, (ts, event_id)) AS state, epoch_us(max(ts)) AS changed_at_ms FROM events GROUP BY user_id",
     "q_active_claims": f"WITH {_SQL_CLAIMS} SELECT claim_id, state AS current_state FROM claims WHERE state <> 'rejected'",
-    "q_review_outcome": _REVIEW,
-    "q_corrections": _CORRECTIONS,
-    "q_affected_derivations": f"WITH {_SQL_CLAIMS} SELECT claim_id, concat(case_id, '/', predicate) AS evaluation_id FROM claims WHERE confidence < 0.3",
-    "q_rule_eval": _RULE_EVAL,
     "q_add_days": "SELECT o_orderkey, CASE WHEN year(CAST(o_orderdate AS date) + CAST((o_orderkey % 4000) * 1000 AS int)) <= 9999 THEN strftime(CAST(o_orderdate AS date) + CAST((o_orderkey % 4000) * 1000 AS int), '%Y-%m-%d') END AS due FROM orders",
-    "q_grounded_claims": f"WITH {_SQL_CLAIMS} SELECT claim_id, state AS current_state, concat('evidence_', claim_id) AS evidence_ids FROM claims",
-    "q_grounded_answer": _ANSWER,
-    "q_due_answer": _DUE,
-    "q_citations": _CITATIONS,
     "q_provenance_lineage": _LINEAGE,
     "q_violations": _VIOLATIONS,
     "q_existence": _EXISTENCE,

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from deponent.functions.values import media_type_of, sha256_hex
+from deponent.session import materialize
 from deponent.sources.ledger import Ledger
-from deponent.sources.scans import extract
+from deponent.sources.scans import Extraction, extract
 
 
 def stream_files(spark: SparkSession, folder: str, ledger: Ledger, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -19,7 +20,7 @@ def stream_files(spark: SparkSession, folder: str, ledger: Ledger, checkpoint: s
 
     def commit(batch: DataFrame, number: int) -> None:
         artifacts = batch.select(sha256_hex(F.col("content")).alias("artifact_id"), media_type_of(F.col("path")).alias("media_type"), "content").dropDuplicates(["artifact_id"])
-        got = extract(artifacts)
+        got = Extraction(materialize(extract(artifacts).outcomes, "stream-outcomes"))  # both tables come of one reading
         ledger.append(f"stream-{number:010d}", {"fields": got.fields, "failures": got.failures})
 
     writer = files.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)

@@ -12,6 +12,7 @@ def known(x):
     return f'{{"knowledge":"known","value":{{"type":"integer","value":{x}}}}}'
 
 
+LOG = "claim_id bigint, state string, changed_at_ms bigint, id string"
 CLAIM = "claim_id bigint, case_id string, subject_key string, predicate string, normalized_value string, initial_state string"
 
 
@@ -54,7 +55,60 @@ def test_links_at_the_time_of_recording(spark):
 
 def test_incremental_links_lose_nothing(spark):
     old, new = frame(spark, [(1, "s", "p", "5"), (2, "s", "p", "5"), (3, "s", "p", "6")]), frame(spark, [(9, "s", "p", "5"), (10, "t", "p", "5")])
-    assert rows(claims.incremental_links(new, old)) == [(9, 1, 2, "corroborates"), (9, 3, 1, "contradicts")]
+    log = spark.createDataFrame([(2, "rejected", 1, "x")], LOG)
+    assert rows(claims.incremental_links(new, old, log.limit(0))) == [(9, 1, 2, "corroborates"), (9, 3, 1, "contradicts")]
+    assert rows(claims.incremental_links(new, old, log)) == [(9, 1, 1, "corroborates"), (9, 3, 1, "contradicts")]
+    more = new.unionByName(frame(spark, [(11, "t", "p", "7")]))  # new claims meet each other, too
+    assert rows(claims.incremental_links(more, old, log)) == [(10, 11, 1, "contradicts"), (11, 10, 1, "contradicts"), (9, 1, 1, "corroborates"), (9, 3, 1, "contradicts")]
+
+
+def one_by_one(batches, reviews):
+    """Last states after recording claim after claim, with each batch's reviews after it."""
+    states, moments, seen = {}, {}, []
+    for batch, judged in zip(batches, reviews):
+        for i, s, p, v, at in sorted(batch, key=lambda c: (c[4], c[0])):
+            for j, s2, p2, v2 in seen:
+                if (s, p) == (s2, p2) and v != v2 and states.get(j) not in ("rejected", "superseded") and v.isdigit() and v2.isdigit():
+                    states[i] = states[j] = "contradicted"
+                    moments[i] = moments[j] = at
+            seen.append((i, s, p, v))
+        states |= judged
+    return states, moments
+
+
+def test_contradictions_change_states(spark):
+    r = random.Random(8)
+    ids = iter(range(1, 10_000))
+    make = lambda n, lo: [(next(ids), r.choice("st"), r.choice("pqr"), r.choice(["5", "6", "7", '{"knowledge":"unknown"}']), lo + r.randrange(50)) for _ in range(n)]
+    batches = [make(30, 100), make(12, 200), make(6, 300)]
+    batches[2].append((next(ids), "z", "z", "5", 310))
+    reviews = [{c[0]: r.choice(["verified", "rejected"]) for c in b if r.random() < 0.5} for b in batches]
+    want, moments = one_by_one(batches, reviews)
+    columns = ["id", "claim_id", "state", "changed_at_ms"]
+    log, prior = None, None
+    for batch, judged, at in zip(batches, reviews, (199, 299, 999)):
+        new = frame(spark, [c[:4] for c in batch]).join(spark.createDataFrame([(c[0], c[4]) for c in batch], "claim_id bigint, created_at_ms bigint"), "claim_id")
+        made = claims.record_conflicts(new.unionByName(new), prior, log)
+        changes = made["claim_state_changes"].select(*columns).unionByName(spark.createDataFrame([(f"r{i}", i, s, at) for i, s in judged.items()], "id string, claim_id bigint, state string, changed_at_ms bigint"))
+        log = changes if log is None else log.unionByName(changes)
+        log = spark.createDataFrame(log.collect(), log.schema)
+        prior = new if prior is None else prior.unionByName(new)
+        prior = spark.createDataFrame(prior.collect(), prior.schema)
+    assert {x["claim_id"]: x["state"] for x in state.latest_state(log).collect()} == want
+    last = {x["claim_id"]: x["m"] for x in log.where("state = 'contradicted'").groupBy("claim_id").agg(F.max("changed_at_ms").alias("m")).collect()}
+    assert last == moments
+
+
+def test_edges_join_classes(spark):
+    at = F.lit(1).cast("bigint")
+    prior = frame(spark, [(1, "s", "p", "5"), (2, "s", "p", "5"), (3, "s", "p", "6"), (4, "s", "q", "1")]).withColumn("created_at_ms", at)
+    new = frame(spark, [(9, "s", "p", "5"), (10, "s", "q", "2"), (11, "s", "q", "2")]).withColumn("created_at_ms", at + 1)
+    made = claims.record_conflicts(new, prior)
+    assert rows(made["evidence_edges"], "from_id", "relationship", "to_id") == [("1", "contradicts", "3"), ("10", "contradicts", "4"), ("11", "corroborates", "10"), ("3", "contradicts", "1"), ("4", "contradicts", "10"), ("9", "corroborates", "1")]
+    assert rows(made["contradictions"], "class_a", "class_b", "created_at_ms") == [(1, 3, 1), (4, 10, 2)]
+    assert rows(made["claim_state_changes"], "claim_id", "changed_at_ms") == [(10, 2), (11, 2), (3, 2), (4, 2), (9, 2)]
+    empty = claims.record_conflicts(new.limit(0), prior.limit(0))
+    assert all(t.count() == 0 for t in empty.values())
 
 
 def test_dispositions(spark):
@@ -68,8 +122,14 @@ def test_dispositions(spark):
 
 def test_requests_blobs_and_reads(spark):
     schema = "source_key string, connector string, locator string, media_type string, original_filename string, content binary"
-    good, bad = ingest.check_requests(spark.createDataFrame([("k", "api", "l", "text/plain", "a.txt", bytearray(b"x")), ("k", "api", "l", "text/plain", "../a", bytearray(b"x")), ("", "api", "l", "text/plain", None, bytearray(b"x")), ("k", "api", "l", "text/plain", None, bytearray(b"x" * 11))], schema), 10)
+    df = spark.createDataFrame([("k", "api", "l", "text/plain", "a.txt", bytearray(b"x")), ("k", "api", "l", "text/plain", "../a", bytearray(b"x")), ("", "api", "l", "text/plain", None, bytearray(b"x")), ("k", "api", "l", "text/plain", None, bytearray(b"x" * 11))], schema)
+    good, bad = ingest.check_requests(df, max_bytes=10)
     assert good.count() == 1 and rows(bad, "reason") == [("invalid_input",), ("invalid_input",), ("too_large",)]
+    bounds = [("k" * n, "c" * c, "l" * n, "m" * m, "f" * f, bytearray(b"x")) for n, c, m, f in ((2048, 100, 255, 255), (2049, 100, 255, 255), (2048, 101, 255, 255), (2048, 100, 256, 255), (2048, 100, 255, 256))]
+    good, bad = ingest.check_requests(spark.createDataFrame(bounds, schema).withColumn("case_id", F.lit("c")), spark.createDataFrame([("c",), (None,)], "id string"))
+    assert good.count() == 1 and rows(bad, "reason") == [("invalid_input",)] * 4
+    there = df.limit(1).withColumn("case_id", F.lit("none"))
+    assert rows(ingest.check_requests(there, spark.createDataFrame([("c",)], "id string"))[1], "reason") == [("not_found",)]
     stored = ingest.blobs(spark.createDataFrame([("x",), ("x",), ("é",)], "content string"))
     assert rows(stored, "content_length") == [(1,), (2,)]
     broken = stored.withColumn("content", F.when(F.col("content") == "x", "y").otherwise(F.col("content")))
@@ -98,6 +158,9 @@ def test_reviews(spark):
     assert rows(out["claim_state_changes"], "claim_id", "state") == [(1, "verified"), (3, "unresolved")]
     assert rows(out["facts"], "claim_id", "established_value") == [(1, known(5))]
     assert rows(out["refused"], "claim_id", "refusal") == [(1, "conflict"), (2, "invalid_input"), (9, "not_found")]
+    assert rows(out["human_reviews"], "target_id", "decision", "rationale") == [("1", "verified", None), ("3", "needs_more_evidence", None)] and out["audit_events"].count() == 2
+    nobody = state.review(d.withColumns({"actor": F.lit(" "), "rationale": F.lit("why")}), c)
+    assert nobody["human_reviews"].count() == 0 and rows(nobody["refused"], "refusal")[-1] == ("not_found",)
     again = state.review(d, c, out["facts"])
     assert again["facts"].count() == 0 and again["refused"].where("refusal = 'conflict'").count() == 2
 
@@ -111,6 +174,14 @@ def test_corrections(spark):
     assert rows(out["claims"], "subject_key", "normalized_value", "origin", "initial_state") == [("s", known(8), "human", "verified")]
     assert rows(out["claim_state_changes"], "state") == [("superseded",), ("verified",)]
     assert rows(out["affected"]) == [(1, "v1")]
+    assert rows(out["corrections"], "original_claim_id", "original_value", "corrected_value") == [("1", known(5), known(8))]
+    made = {k: out[k].first() for k in ("corrections", "claims", "human_reviews", "provenance_records")}
+    assert made["corrections"]["corrected_claim_id"] == made["claims"]["claim_id"] and made["corrections"]["review_id"] == made["human_reviews"]["id"]
+    assert made["corrections"]["provenance_id"] == made["claims"]["provenance_id"] == made["provenance_records"]["id"]
+    assert (made["provenance_records"]["extraction_method"], made["provenance_records"]["extractor_version"], made["human_reviews"]["decision"]) == ("human_correction", "human", "corrected")
+    bad = spark.createDataFrame([(1, "", known(8), "me", 7), (9, "8", known(8), "me", 7), (2, "8", known(8), "", 7)], fix.schema)
+    refused = state.correct(bad, c, edges, rests)
+    assert rows(refused["refused"]) == [(1, "invalid_input"), (2, "invalid_input"), (9, "not_found")] and refused["claims"].count() == 0
 
 
 TRUE = '{"knowledge":"known","value":{"type":"boolean","value":true}}'
@@ -148,6 +219,56 @@ def test_evaluations_are_remembered_by_their_inputs(spark):
     assert rules.new_evaluations(rules.evaluate(v, v, [RULE]), first).count() == 0
     more = v.unionByName(v.where("case_id = 'c'").withColumn("claim_id", F.lit("z")))
     assert rows(rules.new_evaluations(rules.evaluate(more, more, [RULE]), first), "case_id") == [("c",)]
+    evidence = lambda *ids: v.withColumn("evidence_ids", F.array(*map(F.lit, ids)))
+    seen = {rules.evaluate(v, x, [RULE]).where("case_id = 'c'").first()["inputs_sha256"] for x in (v, evidence("e1"), evidence("e1", "e2"), evidence("e2", "e1"), v.withColumn("normalized_value", F.lit(FALSE)))}
+    assert len(seen) == 4  # evidence and values count, their order doesn't
+    evaluated = rules.with_ids(rules.evaluate(v, evidence("e1", "e2"), [RULE]))
+    assert rows(rules.evaluation_evidence(evaluated, rules.inputs(evidence("e1", "e2"), [RULE])), "evidence_id") == [("e1",), ("e1",), ("e2",), ("e2",)]
+
+
+def test_rules_against_brute_force(spark):
+    r = random.Random(6)
+    dates = [day(d) for d in (1, 2)]
+    data = [(f"k{i}", f"c{r.randrange(12)}", r.choice(["document", "x"]), r.choice("pqrs"), r.choice([TRUE, FALSE, dates[0], dates[1], None])) for i in range(160)]
+    declared = [{"rule_id": f"r{n}", "conditions": [(r.choice(["document", "x"]), r.choice("pqrs"), r.choice([TRUE, FALSE, dates[0]])) for _ in range(r.choice([1, 2, 3, 32]))], "anchor_predicate": r.choice("pqrst"), "days_after": n} for n in range(9)]
+    v = spark.createDataFrame(data, "claim_id string, case_id string, subject_key string, predicate string, normalized_value string")
+    cases = spark.createDataFrame([(f"c{i}",) for i in range(14)] * 2, "case_id string")
+    want = []
+    for case in (f"c{i}" for i in range(14)):
+        own = [x for x in data if x[1] == case]
+        for rule in declared:
+            missing, failed, split, used = [], [], False, {x[0] for x in own if x[3] == rule["anchor_predicate"]}
+            for s, p, e in rule["conditions"]:
+                met = [x for x in own if x[2:4] == (s, p)]
+                hits = sum(x[4] == e for x in met)
+                used |= {x[0] for x in met}
+                missing += [p] * (not met)
+                failed += [p] * bool(met and not hits)
+                split |= 0 < hits < len(met)
+            anchors = {x[4] for x in own if x[3] == rule["anchor_predicate"] and x[4] in dates}
+            if split or len(anchors) > 1:
+                got = ("indeterminate", rules.DISAGREE)
+            elif missing:
+                got = ("indeterminate", rules.MISSING.format(", ".join(missing)))
+            elif failed:
+                got = ("not_satisfied", rules.FAILED.format(", ".join(failed)))
+            else:
+                got = ("satisfied", rules.SATISFIED) if anchors else ("indeterminate", rules.NO_ANCHOR.format(rule["anchor_predicate"]))
+            want.append((case, rule["rule_id"], *got, len(used)))
+    found = rules.evaluate(cases, v, declared)
+    assert rows(found, "case_id", "rule_id", "result", "explanation", "n_inputs") == sorted(want, key=repr)
+    asked = spark.createDataFrame([("c1", "r3"), ("c99", "r1"), ("c1", "none")], "case_id string, rule_id string")
+    assert rows(rules.evaluate(asked, v, declared), "case_id", "rule_id") == [("c1", "r3"), ("c99", "r1")]
+    assert rules.evaluate(cases, v, []).count() == rules.evaluate(cases.limit(0), v, declared).count() == 0
+
+
+def test_registration(spark):
+    base = {**RULE, "package_id": "p", "stable_key": "k", "title": "T", "version": 1, "task_title": "t" * 500}
+    made = rules.register(spark, [base, {**base, "version": 2}, base, {**base, "days_after": 3}, {**base, "stable_key": "l", "task_title": "t" * 501}, {**base, "stable_key": "m", "conditions": [("s", "p" * 301, TRUE)]}], 5, "me")
+    assert made["rules"].count() == 1 and rows(made["rule_versions"], "version") == [(1,), (2,)] and rows(made["audit_events"], "operation") == [("rule.register",)] * 2
+    assert rows(made["refused"]) == [("k", 1, "conflict"), ("l", 1, "invalid_input"), ("m", 1, "invalid_input")]
+    again = rules.register(spark, [base], 9, "me")
+    assert again["rule_versions"].first()["id"] in {x["id"] for x in made["rule_versions"].collect()}
 
 
 def test_rule_bounds():
@@ -171,11 +292,16 @@ def test_answer_modes(spark, states, values, mode):
 
 def test_what_is_due(spark):
     q = spark.createDataFrame([("a", "c", "What MUST we do?"), ("b", "d", "deadline?"), ("x", "c", "amount?"), ("n", "c", None)], "question_id string, case_id string, question string")
-    e = spark.createDataFrame([("c", "e1", "satisfied", "Old", "2026-08-22", 1), ("c", "e2", "satisfied", "New", None, 2), ("c", "e3", "not_satisfied", "No", None, 3)], "case_id string, evaluation_id string, result string, title string, due_date string, evaluated_at_ms bigint")
+    e = spark.createDataFrame([("c", "r", "e1", "satisfied", "Old", "2026-08-22", 4, 1), ("c", "r2", "e2", "satisfied", "New", None, 3, 2), ("c", "r", "e3", "not_satisfied", "No", None, 9, 3)], "case_id string, rule_id string, evaluation_id string, result string, title string, due_date string, n_inputs bigint, evaluated_at_ms bigint")
     assert rows(answers.due_answers(q, e), "question_id", "mode", "statement", "evaluation_id") == [
         ("a", "established", "New is required by a satisfied rule evaluation and is due an unresolved date.", "e2"),
         ("b", "unknown", answers.STATEMENTS["unknown"], None),
     ]
+    c = spark.createDataFrame([(1, "c", "rent", known(5), "verified", "p", ["e9"])], "claim_id bigint, case_id string, predicate string, normalized_value string, current_state string, provenance_id string, evidence_ids array<string>")
+    q = q.unionByName(spark.createDataFrame([("r", "c", "What is the rent?"), ("d", "c", "What is the deadline of rent?"), ("e", "e", "What is the deadline of rent?")], q.schema))
+    assert rows(answers.query(q, c, e), "question_id", "mode", "n_claims", "evaluation_id") == [("a", "established", 3, "e2"), ("b", "unknown", 0, None), ("d", "established", 3, "e2"), ("e", "unknown", 0, None), ("n", "unknown", 0, None), ("r", "established", 1, None), ("x", "unknown", 0, None)]
+    used = spark.createDataFrame([("c", "r2", "7", ["e7"]), ("c", "r", "8", ["e8"])], "case_id string, rule_id string, claim_id string, evidence_ids array<string>")
+    assert rows(answers.citations(q, c, e, used)) == [("a", "7", None, ["e7"]), ("d", "7", None, ["e7"]), ("r", "1", "p", ["e9"])]
 
 
 def test_citations_and_evidence(spark):
@@ -185,7 +311,7 @@ def test_citations_and_evidence(spark):
     g = answers.grounded_claims(c, log, edges).withColumn("provenance_id", F.lit("p"))
     assert rows(g, "claim_id", "evidence_ids") == [(1, ["e1", "e2"]), (2, [])]
     q = spark.createDataFrame([("q", "c", "the amount?")], "question_id string, case_id string, question string")
-    assert rows(answers.citations(q, g)) == [("q", 1, "p", ["e1", "e2"])]
+    assert rows(answers.citations(q, g)) == [("q", "1", "p", ["e1", "e2"])]
 
 
 def test_checks(spark):

@@ -1,0 +1,62 @@
+from pyspark.sql import functions as F
+
+from deponent.operators import answers, rules, state
+from deponent.operators.pipeline import ingest_claims
+from tests.conftest import rows
+from tests.test_evidence import RULE, TRUE
+
+REQUEST = "seq bigint, case_id string, source_key string, connector string, locator string, media_type string, original_filename string, content binary"
+
+
+def requests(spark, *given):
+    return spark.createDataFrame([(i, case, key, "api", "l", media, name, bytearray(content)) for i, (case, key, media, name, content) in enumerate(given)], REQUEST)
+
+
+def run(spark, *given, at_ms=5, **kw):
+    return ingest_claims(requests(spark, *given), spark.createDataFrame([("c",), ("d",)], "id string"), at_ms=at_ms, actor="tester", connector="api", **kw)
+
+
+def test_bytes_become_claims(spark):
+    made = run(
+        spark,
+        ("c", "a", "text/plain", "a.txt", b"amount: 5\nname: Ann\n"),
+        ("c", "a", "text/plain", "a.txt", b"amount: 5\nname: Ann\n"),  # a duplicate
+        ("c", "a", "text/plain", "a.txt", b"amount: 6\n"),
+        ("d", "a", "application/json", None, b'{"amount":5}'),
+        ("d", "b", "text/csv", None, b"a,b\n1\n"),
+        ("x", "a", "text/plain", None, b"amount: 5\n"),
+        ("c", "b", "text/plain", "../b", b"amount: 5\n"),
+    )
+    assert rows(made["refused"]) == [(5, "not_found"), (6, "invalid_input")]
+    assert rows(made["artifact_versions"], "case_id", "source_key", "version_number", "disposition") == [("c", "a", 1, "new_artifact"), ("c", "a", 2, "new_version"), ("d", "a", 1, "new_artifact"), ("d", "b", 1, "new_artifact")]
+    assert rows(made["failures"], "reason") == [("malformed_input",)]
+    claims = made["claims"].withColumnRenamed("id", "claim_id")
+    current = state.current_claims(claims, made["claim_state_changes"])
+    assert rows(current, "case_id", "predicate", "original_value", "current_state") == [("c", "amount", "5", "contradicted"), ("c", "amount", "6", "contradicted"), ("c", "name", "Ann", "extracted"), ("d", "amount", "5", "extracted")]
+    assert made["contradictions"].count() == 1 and rows(made["evidence_edges"].groupBy("relationship").count()) == [("contradicts", 2), ("supported_by", 4)]
+    assert rows(made["audit_events"].groupBy("operation").count()) == [("artifact.ingest", 3), ("artifact.version", 1), ("claim.record", 4)]
+    assert made["provenance_records"].where("artifact_version_id is null or extraction_method <> 'deterministic'").count() == 0
+    assert run(spark)["claims"].count() == 0
+
+
+def verified(made, at):
+    claims = made["claims"].withColumnRenamed("id", "claim_id")
+    return claims, state.review(claims.select("claim_id", F.lit("verified").alias("decision"), F.lit("me").alias("actor"), F.lit(at).cast("bigint").alias("decided_at_ms")), claims)["claim_state_changes"]
+
+
+def test_the_later_reviewed_value_wins_while_the_contradiction_stays(spark):
+    columns = ["id", "claim_id", "state", "changed_at_ms"]
+    first = run(spark, ("c", "a", "text/plain", None, b"received_date: 2026-08-12\nresponse_required: true\nactive: true\n"), at_ms=1)
+    prior, log = verified(first, 2)
+    log = log.select(*columns)
+    second = run(spark, ("c", "b", "text/plain", None, b"received_date: 2026-08-13\nresponse_required: true\nactive: true\n"), at_ms=3, prior=prior, log=log)
+    more, reviewed = verified(second, 4)
+    whole = log.unionByName(second["claim_state_changes"].select(*columns)).unionByName(reviewed.select(*columns))
+    current = state.current_claims(prior.unionByName(more), whole)
+    assert second["contradictions"].count() == 1
+    assert rows(current.where("predicate = 'received_date'"), "original_value", "current_state") == [("2026-08-12", "contradicted"), ("2026-08-13", "verified")]
+    got = rules.evaluate(current, current.where("current_state = 'verified'"), [RULE]).first()
+    assert got["result"] == "satisfied" and str(got["due_date"]) == "2026-08-23" and TRUE
+    edges = first["evidence_edges"].unionByName(second["evidence_edges"]).where("from_kind = 'claim'")
+    grounded = answers.grounded_claims(prior.unionByName(more), whole, edges)
+    assert rows(grounded.select(F.size("evidence_ids"))) == [(1,)] * 6

@@ -52,7 +52,7 @@ def test_csv_cells_all_or_nothing(spark):
     data = [("ok", "name, amount\nAnn,1\n\nBo,\n"), ("uneven", "name,amount\nAnn\n"), ("blank", "name,\nAnn,1\n"), ("open", 'a\n"'), ("only head", "a,b\n"), ("empty", ""), ("null", None)]
     fields, bad = scans.scan_csv(spark.createDataFrame(data, "artifact_id string, text string"))
     assert rows(fields, "subject_key", "predicate", "original_value", "row_number", "column_number") == [("row:1", "amount", "1", 1, 1), ("row:1", "name", "Ann", 1, 0), ("row:2", "name", "Bo", 2, 0)]
-    assert rows(bad, "artifact_id") == [("blank",), ("empty",), ("open",), ("uneven",)]
+    assert rows(bad, "artifact_id") == [("blank",), ("null",), ("open",), ("uneven",)]
 
 
 #: Invented documents of three formats: thirteen fields, all typed and located.
@@ -76,12 +76,51 @@ def test_extraction(spark):
 
 
 def test_extra_format(spark):
-    def shout(texts):
-        none = F.lit(None).cast("int")
-        return texts.select("artifact_id", F.lit("document").alias("subject_key"), F.lit("all").alias("predicate"), F.upper("text").alias("original_value"), F.lit("all").alias("source_field"), none.alias("paragraph_number"), none.cast("bigint").alias("text_span_start"), none.cast("bigint").alias("text_span_end"), none.alias("row_number"), none.alias("column_number")), None
+    def shout(text):
+        if text == "no":
+            raise ValueError
+        return [("document", "all", text.upper(), "all", None, None, None, None, None)]
 
-    df = spark.createDataFrame([("a", "text/plain", bytearray(b"hi"))], "artifact_id string, media_type string, content binary")
-    assert rows(scans.extract(df, {"text": shout}).fields, "original_value") == [("HI",)]
+    df = spark.createDataFrame([("a", "text/plain", bytearray(b"hi")), ("b", "text/plain", bytearray(b"no")), ("c", "text/csv", bytearray(b"a"))], "artifact_id string, media_type string, content binary")
+    got = scans.extract(df, {"text": shout})
+    assert rows(got.fields, "original_value") == [("HI",)] and rows(got.failures) == [("b", "malformed_input"), ("c", "unsupported_format")]
+
+
+@pytest.mark.parametrize("text", ['{"a":1} trailing', '{"a":1}{"b":2}', '{"a":1,"a":2} x', '{"a":1}] x', '{"a":1},{"b":2}', "{'a':1}", '{"a":NaN}', '{"a":Infinity}', '{"a":1e999}', '{"a":"\\ud800"}', '{"a":"\t"}', "\ufeff{}", '{"a":' + "[" * 127 + "]" * 127 + "}", '{"a":' + "[" * 9000 + "]" * 9000 + "}", "", " ", '{"a":01}'])
+def test_what_is_no_whole_object_is_malformed(text):
+    with pytest.raises(ValueError):
+        scans.json_fields(text)
+
+
+def test_number_texts():
+    text = '{"a":1.0,"b":-0,"c":18446744073709551615,"d":18446744073709551616,"e":1e16,"f":123456789012345.5,"g":0.00001,"h":1.5e-7,"i":1E2,"j":-9223372036854775808,"k":12345678901234567.0,"l":0.0,"m":{"x":' + "[" * 125 + "]" * 125 + "}}"
+    assert {f[1]: f[2] for f in scans.json_fields(text)} == {"a": "1.0", "b": "-0.0", "c": "18446744073709551615", "d": "1.8446744073709552e19", "e": "1e16", "f": "123456789012345.5", "g": "0.00001", "h": "1.5e-7", "i": "100.0", "j": "-9223372036854775808", "k": "1.2345678901234568e16", "l": "0.0"}
+
+
+def test_bounds_of_values(spark):
+    def one(artifact, key, value):
+        return (artifact, "text/plain", bytearray(f"{key}: {value}\n".encode()))
+
+    data = [one("long", "k", "x" * 500_000), one("most", "k", "x" * 1_000_000), one("over", "k", "x" * 1_000_001), one("key", "k" * 300, "v"), one("key over", "k" * 301, "v")]
+    out = scans.extract(spark.createDataFrame(data, "artifact_id string, media_type string, content binary"))
+    assert rows(out.fields.select("artifact_id", F.length("original_value"))) == [("key", 1), ("long", 500_000), ("most", 1_000_000)]
+    assert rows(out.failures) == [("key over", "validation_rejected"), ("over", "validation_rejected")]
+
+
+def test_every_failure_has_its_reason(spark):
+    data = [("none", "text/plain", None, None), ("hash", "text/plain", b"a: b", "0" * 64), ("empty csv", "text/csv", b"", None), ("head", "text/csv", b"a,b\n", None), ("odd", None, b"a: b", None), ("utf", "application/json", b"\xff", None), ("ok", "application/json; charset=x", b'{"d":"2026-08-12","n":1.0}', None)]
+    df = spark.createDataFrame([(a, m, None if c is None else bytearray(c), h) for a, m, c, h in data], "artifact_id string, media_type string, content binary, content_sha256 string")
+    out = scans.extract(df.withColumns({"reason": F.lit("clash"), "fields": F.lit(1)}))
+    assert rows(out.failures) == [("empty csv", "no_observations"), ("hash", "unreadable_artifact"), ("head", "no_observations"), ("none", "unreadable_artifact"), ("odd", "unsupported_format"), ("utf", "malformed_input")]
+    got = {r["predicate"]: r for r in out.fields.collect()}
+    assert got["n"]["kind"] == "decimal" and got["n"]["temporal"] is None
+    assert (got["d"]["temporal"]["kind"], str(got["d"]["temporal"]["date"]), got["d"]["temporal"]["original"]) == ("exact_date", "2026-08-12", "2026-08-12")
+    assert scans.extract(df.limit(0)).outcomes.count() == 0
+
+
+def test_too_large(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "text/plain", bytearray(b"abcd: e"))], "artifact_id string, media_type string, content binary")
+    assert scans.decode(df.withColumn("content", F.repeat(F.lit("x"), scans.MAX_BYTES + 1).cast("binary")))[1].first()["reason"] == "too_large"
 
 
 def test_files(spark, tmp_path):

@@ -66,7 +66,9 @@ def test_ids_and_names(spark):
     assert one(spark, V.deterministic_id("claim", F.lit("a"), F.lit("b"))) == one(spark, V.deterministic_id("claim", F.lit("a"), F.lit("b")))
     assert one(spark, V.deterministic_id("claim", F.lit("a"), F.lit("b"))) != one(spark, V.deterministic_id("claim", F.lit("ab"), F.lit("")))
     assert [one(spark, V.valid_record_id(F.lit(x))) for x in ("ab", "abc", "a b", "é12", None)] == [False, True, False, False, False]
-    assert [one(spark, V.valid_filename(F.lit(x))) for x in ("a.txt", "a/b", "a\\b", "..", ".", "", None)] == [True, *[False] * 6]
+    good = ("a.txt", "a\\b", "a/", "a/.", "x" * 255, "..a")
+    bad = ("a/b", "/a", "./a", "a/..", "..", ".", "", " ", "x" * 256, "a\tb", None)
+    assert [one(spark, V.valid_filename(F.lit(x))) for x in good + bad] == [True] * len(good) + [False] * len(bad)
     assert [one(spark, V.valid_text(F.lit(x), 1, 3)) for x in (" ab ", "abcd", "a\tb", "  ", None)] == [True, False, False, False, False]
     sha = "ab" + "0" * 62
     assert one(spark, V.storage_key(F.lit(sha))) == f"blobs/ab/{sha}"
@@ -89,3 +91,19 @@ def test_temporal_values(spark):
     data = [(("exact_date", a, None, None, None, None, None, "x"),), (("month", None, 2024, 13, None, None, None, "x"),), (("range", None, None, None, b, a, True, "x"),), (("range", None, None, None, a, b, True, "x"),), (("year", None, 0, None, None, None, None, "x"),), (("age", None, None, None, None, None, None, "x"),), (("before", None, None, None, None, None, None, "x"),)]
     got = [r[0] for r in spark.createDataFrame(data, schema).select(V.temporal_errors(F.col("t"))).collect()]
     assert got == [[], ["month"], ["range"], [], ["year"], ["kind"], ["date"]]
+
+
+def test_bounded_constructors(spark):
+    ok = lambda c: one(spark, c)
+    assert [ok(V.valid_decimal(F.lit(5), F.lit(s).cast("int"))) for s in (0, 18, 19, -1, None)] == [True, True, False, False, False]
+    assert [ok(V.valid_money(F.lit(5), F.lit(2), F.lit(c))) for c in ("USD", "usd", "US", "US1", "USDX", None)] == [True, *[False] * 5]
+    assert [ok(V.valid_confidence(F.lit(c).cast("double"))) for c in (0, 1, 1.1, -0.1, float("nan"), None)] == [True, True, False, False, False, True]
+
+
+def test_closed_sets(spark):
+    from deponent.functions.codecs import code, is_code
+
+    assert [one(spark, is_code(F.lit(x), "claim_state")) for x in ("contradicted", "Contradicted", "", None)] == [True, False, False, False]
+    assert code("operation", "claim.review") == "claim.review"
+    with pytest.raises(ValueError):
+        code("operation", "claim.forget")
