@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from deponent.sources.ledger import Ledger
+from deponent.sources.ledger import Ledger, Migration
+from deponent.sources.tables import read_tsv
 from deponent.streaming.ingest import latest_states, stream_files
 from tests.conftest import rows
 
@@ -39,6 +40,42 @@ def test_newer_schema_is_refused(spark, tmp_path):
         ledger.read("t")
 
 
+def test_migrations_are_applied_in_order(spark, tmp_path):
+    root, base = str(tmp_path / "ledger"), spark.createDataFrame([(1, "a")], "id int, v string")
+    note, size = Migration(2, "note", "t", (("note", "string"),)), Migration(3, "size", "t", (("size", "bigint"), ("unit", "string")))
+    Ledger(spark, root).append("b1", {"t": base, "u": base})
+    one = Ledger(spark, root, (note,))
+    with pytest.raises(ValueError, match="due"):
+        one.append("b2", {"t": base})
+    assert one.schema_version() == 1 and one.migrate() == [2] and one.migrate() == [] and one.schema_version() == 2
+    one.append("b2", {"t": base.withColumn("note", F.lit("n"))})
+    with pytest.raises(ValueError, match="differ"):
+        one.append("b3", {"t": base})
+    both = Ledger(spark, root, (note, size))
+    assert both.migrate() == [3]
+    both.append("b4", {"t": base.withColumns({"note": F.lit("m"), "size": F.lit(4).cast("bigint"), "unit": F.lit("kg")}), "u": base})
+    assert rows(both.read("t")) == [(1, "a", "m", 4, "kg"), (1, "a", "n", None, None), (1, "a", None, None, None)] and both.read("u").count() == 2
+    for other in ((), (note,), (note._replace(name="other"), size)):
+        with pytest.raises(ValueError, match="doesn't know"):
+            Ledger(spark, root, other).read("t")
+    with pytest.raises(ValueError, match="consecutive"):
+        Ledger(spark, root, (size,))
+
+
+def test_tsv_headers_go_by_their_place(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("\nid\tname\n1\tAnn\nid\tname\n2\n3\t x\n\n4\tBo\n")
+    (tmp_path / "b.tsv").write_text("id\tname\n5\tCy\n")
+    good, bad = read_tsv(spark, str(tmp_path), ["id", "name"])
+    assert rows(good) == [("1", "Ann"), ("4", "Bo"), ("5", "Cy"), ("id", "name")] and rows(bad) == [("2",), ("3\t x",)]
+    (tmp_path / "c.tsv").write_text("name\tid\n5\tCy\n")
+    with pytest.raises(ValueError):
+        read_tsv(spark, str(tmp_path), ["id", "name"])
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.tsv").write_text("\n")
+    with pytest.raises(ValueError):
+        read_tsv(spark, str(tmp_path / "empty"), ["id", "name"])
+
+
 def test_stream_of_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
