@@ -27,7 +27,7 @@ MOSTLY = 0.5
 #: ... and at least so many words (a link counts as LINK_WORDS).
 LEAST_WORDS, LINK_WORDS = 12, 3
 #: Words from which a piece can be a sentence; at list separators and in title case it takes LONG_WORDS.
-SENTENCE_WORDS, LONG_WORDS, LONGEST_SENTENCE = 5, 9, 40
+SENTENCE_WORDS, LONG_WORDS, LONGEST_SENTENCE = 5, 9, 30
 #: Pieces (a link counts as one) that the shapes of one separator need to dominate.
 LIST_PIECES = 4
 #: Shapes that can dominate a page together.
@@ -40,6 +40,8 @@ CHUNK, DISTINCT, DISTINCT_PROSE = 24, 0.5, 0.4
 #: Of HEAP_WORDS and more running words without sentence ends, the least part that have at most
 #: SHORT_WORD letters, as words that join others have.
 HEAP_WORDS, SHORT_PART, SHORT_WORD = 16, 0.2, 3
+#: What a single letter among words that are no prose counts as a repeated word.
+LETTER = 0.7
 #: Longest signature: lines that aren't blank, and characters.
 SIGNATURE_LINES, SIGNATURE_CHARS = 6, 500
 
@@ -56,7 +58,7 @@ _RULE = re.compile(r"\s*+(?:-{2,3}|—|_{4,}+)\s*+\Z")
 _SMALL = re.compile(r"\n\s*+\[size=\d\](?P<in>(?:(?!\[/?size)[^\n])*+)\[/size\]\s*+\Z")
 _INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe0f\ufeff]")
 _LINK = re.compile(
-    r"<a\b[^<>]*+>(?:(?!</?a\b).)*+</a\s*+>|\[url\b[^\[\]]*+\](?:(?!\[/?url\b).)*+\[/url\]|!?\[[^\[\]\n]*+\]\((?:https?:|www\.)[^)\s]*+\)?"
+    r"<a\b[^<>]*+>(?:(?!</?a\b).)*+</a\s*+>|\[url\b[^\[\]]*+\](?:(?!\[/?url\b).)*+\[/url\]|\[url=[^\[\]]*+\]|<a\b[^<>]*+>|!?\[[^\[\]\n]*+\]\((?:https?:|www\.)[^)\s]*+\)?"
     r"|\b(?:https?|hxxps?|ftp)\s?:\s?//[^\s<>\[\]\"]++|\bwww\.[^\s<>\[\]\"]++",
     re.I | re.S,
 )
@@ -275,7 +277,7 @@ class Piece(NamedTuple):
 class Shape(NamedTuple):
     """What a piece is reduced to."""
 
-    words: int  # words at each link: 0 to 4 as 1, or the least of its class (5, 9, 16, 41)
+    words: int  # words at each link: 0 to 4 as 1, or the least of its class (5, 9, 16, 31)
     fresh: bool  # its words are distinct enough
     joined: bool  # enough of its words are short
     capitals: str
@@ -355,9 +357,9 @@ def _stale(found: list[Piece], prose: list[bool]) -> list[bool]:
     distinct ones than running words, or are single letters. A stretch is looked for among the words
     of pieces that are no prose and among all words, of a sentence that comes again only once."""
     poor = [0.0] * len(found)
-    rest = [w for p, is_prose in zip(found, prose) if not is_prose for w in p.words]
-    if starts := _poor(rest, DISTINCT):
-        owner = [i for i, p in enumerate(found) if not prose[i] for _ in p.words]
+    long = [[] if is_prose else [w for w in p.words if len(w) > 1 or not w.isalpha() or _WIDE.match(w)] for p, is_prose in zip(found, prose)]
+    if starts := _poor([w for words in long for w in words], DISTINCT):
+        owner = [i for i, words in enumerate(long) for _ in words]
         for at in starts:
             for i in owner[at : at + CHUNK]:
                 poor[i] += 1
@@ -380,14 +382,19 @@ def _stale(found: list[Piece], prose: list[bool]) -> list[bool]:
     out = []
     for i, p in enumerate(found):
         if not prose[i]:
-            poor[i] += sum(0.7 for w in p.words if len(w) == 1 and w.isalpha() and not _WIDE.match(w))
+            poor[i] += LETTER * (len(p.words) - len(long[i]))
         out.append(poor[i] > 0.5 * len(p.words))
     return out
 
 
 def _joined(p: Piece, prose: bool) -> bool:
-    n = len(p.words)
-    return prose or n < HEAP_WORDS or sum(len(w) <= SHORT_WORD for w in p.words) >= SHORT_PART * n or any(_WIDE.match(w) for w in p.words)
+    """Whether words that join others, short ones, stand among many. In lists, where sizes and prices
+    are short, too, numbers don't count as such."""
+    n, listed = len(p.words), p.separator in "|,#"
+    if prose or n < (LONG_WORDS if listed else HEAP_WORDS):
+        return True
+    short = sum(len(w) <= SHORT_WORD and (not listed or w.isalpha()) for w in p.words)
+    return short >= SHORT_PART * n or any(_WIDE.match(w) for w in p.words)
 
 
 def _own_pieces(text: str | None) -> tuple[list[Piece], list[bool], list[bool]]:
@@ -401,7 +408,7 @@ def _grouped(found: list[Piece], prose: list[bool], stale: list[bool]) -> dict[S
     out: dict[Shape, list[int]] = {}
     for p, is_prose, is_stale in zip(found, prose, stale):
         n = len(p.words) // max(1, p.links)
-        size = 1 if n < 5 else 5 if n < 9 else 9 if n < 16 else 16 if n <= LONGEST_SENTENCE else 41
+        size = 1 if n < 5 else 5 if n < 9 else 9 if n < 16 else 16 if n <= LONGEST_SENTENCE else 31
         group = out.setdefault(Shape(size, not is_stale, _joined(p, is_prose), _capitals(p.text), p.separator, min(p.links, 2)), [0, 0])
         group[0] += max(1, p.links)
         group[1] += p.weight

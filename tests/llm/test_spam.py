@@ -32,6 +32,12 @@ SPAM = [
     "> quoted text here, which is not spam at all.\n" + "; ".join(WORDS * 6),
     "free shipping kettle Anna. free shipping kettle Berta. free shipping kettle Carla. free shipping kettle Dora. free shipping kettle Emil. free shipping kettle Fritz.",
 ]
+SPAM += [
+    "kettle • • (744) 40mm box KL-361 drain 178,99 used set tile 85,99 • meter sieve 12V radiator 16x9 hose XL mixer 2-pack (12) • • lamp 33,10 valve used adapter 40mm washer 99,00 cable 5m • hinge",
+    " | ".join(f"[url=http://x{i}.test/p]buy kettle" for i in range(6)),
+    "h3at3r p free HEATER s FREE heater n fr33 h FREE h3at3r e free heater t FREE heater r FREE free heater p h3at3r s free HEATER n FREE g heater",
+    " ".join(WORDS * 2 + [f"{a}{b}" for a in WORDS for b in ("box", "cap", "set")]) + ". " + " ".join(f"{b} {a}" for a in WORDS for b in ("cheap", "discount", "online")),
+]
 HAM = [
     POST,
     POST.lower().replace(".", "").replace(",", "").replace("?", ""),
