@@ -18,7 +18,7 @@ CODES = {
     "relationship": ("supported_by", "contradicted_by", "corroborates", "contradicts", "supersedes", "involves", "created_by", "applies_to", "satisfies", "produces"),
     "rule_result": ("satisfied", "not_satisfied", "indeterminate"),
     "answer_mode": ("established", "claimed", "suggested", "conflicting", "unknown"),
-    "operation": ("case.create", "artifact.ingest", "artifact.version", "claim.record", "claim.review", "claim.correct", "rule.register", "rule.evaluate"),
+    "operation": ("case.create", "artifact.ingest", "artifact.version", "artifact.duplicate", "claim.record", "claim.review", "claim.correct", "rule.register", "rule.evaluate"),
     "failure": ("invalid_input", "not_found", "conflict", "unsupported", "too_large", "storage", "internal"),
     "extraction_failure": ("unsupported_format", "unreadable_artifact", "malformed_input", "no_observations", "validation_rejected", "internal"),
 }

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deponent.functions.text import ascii_lower
+from deponent.functions.codecs import code
+from deponent.functions.text import ascii_lower, trim_ws
 from deponent.functions.values import knowledge
 from deponent.operators.state import current_claims
 
 
+#: Fixed value: longest question.
+MAX_QUESTION_BYTES = 2000
 #: Statement of an answer by its mode.
 STATEMENTS = {
     "established": "The evidence establishes a value for this predicate.",
@@ -34,6 +37,13 @@ def asks_what_is_due(question: Column) -> Column:
     return F.coalesce(q.contains(DUE_PHRASES[0]) | q.contains(DUE_PHRASES[1]) | q.contains(DUE_PHRASES[2]), F.lit(False))
 
 
+def check_questions(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions that can be asked, and those refused as invalid_input: blank ones and ones of more than
+    MAX_QUESTION_BYTES bytes."""
+    ok = F.coalesce((trim_ws(F.col("question")) != "") & (F.octet_length("question") <= MAX_QUESTION_BYTES), F.lit(False))
+    return questions.where(ok), questions.where(~ok).withColumn("reason", F.lit(code("failure", "invalid_input")))
+
+
 def _last_satisfied(evaluations: DataFrame) -> DataFrame:
     """(case_id, e): the last satisfied evaluation of each case, by time and id."""
     last = F.max(F.struct("evaluated_at_ms", "evaluation_id", "rule_id", "title", F.col("due_date").cast("string").alias("due"), "n_inputs"))
@@ -111,3 +121,15 @@ def lineage(claims: DataFrame, versions: DataFrame, artifacts: DataFrame, source
     s = sources.select(F.col("id").alias("source_id"), "connector").where("source_id is not null").distinct()
     origin = v.join(a.join(s, "source_id", "left"), "artifact_id", "left")
     return claims.select("claim_id", "artifact_version_id").join(origin, "artifact_version_id", "left").select("claim_id", "content_sha256", "source_key", "connector")
+
+
+def evaluation_lineage(evaluations: DataFrame, used: DataFrame, claims: DataFrame, versions: DataFrame) -> DataFrame:
+    """Why an evaluation came out: (evaluation_id, rule_id, claim_id, evidence_id, provenance_id,
+    artifact_version_id, content_sha256) of each evidence of each of its inputs, down to the bytes. An
+    input without evidence, or whose provenance names no version, has nulls there. ``claims`` have
+    claim_id, provenance_id and artifact_version_id."""
+    inputs = used.select("case_id", "rule_id", "claim_id", F.explode_outer("evidence_ids").alias("evidence_id"))
+    of = claims.select(F.col("claim_id").cast("string").alias("claim_id"), "provenance_id", "artifact_version_id").dropDuplicates(["claim_id"])
+    sha = versions.select(F.col("id").alias("artifact_version_id"), "content_sha256").where("artifact_version_id is not null").dropDuplicates(["artifact_version_id"])
+    rows = evaluations.select("evaluation_id", "case_id", "rule_id").join(inputs, ["case_id", "rule_id"]).join(of, "claim_id", "left").join(sha, "artifact_version_id", "left")
+    return rows.select("evaluation_id", "rule_id", "claim_id", "evidence_id", "provenance_id", "artifact_version_id", "content_sha256")

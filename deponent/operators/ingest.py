@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 
 from deponent.functions.codecs import code
 from deponent.functions.values import deterministic_id, sha256_hex, storage_key, valid_filename, valid_storage_key, valid_text
+from deponent.operators.claims import audit
 from deponent.operators.prefix import prefix_sum
 from deponent.sources.scans import MAX_BYTES
 
 
-def create_cases(requests: DataFrame, at_ms: int) -> tuple[DataFrame, DataFrame]:
-    """Requests (title, actor) as open cases with ids made from their content, and the refused ones:
-    title and actor take 1 to 300 characters without control characters."""
+def create_cases(requests: DataFrame, at_ms: int) -> dict[str, DataFrame]:
+    """Requests (title, actor) as open cases with ids made from their content, their audit_events, and
+    the refused ones: title and actor take 1 to 300 characters without control characters."""
     ok = valid_text(F.col("title"), 1, 300) & valid_text(F.col("actor"), 1, 300)
     at = F.lit(at_ms).cast("bigint")
-    made = requests.where(ok).select(deterministic_id("case", F.col("title"), F.col("actor"), at).alias("id"), "title", F.lit("open").alias("status"), at.alias("created_at_ms"), F.lit("{}").alias("metadata_json"))
-    return made, requests.where(~ok).withColumn("reason", F.lit("invalid_input"))
+    made = requests.where(ok).select(deterministic_id("case", F.col("title"), F.col("actor"), at).alias("id"), "title", "actor")
+    return {
+        "cases": made.select("id", "title", F.lit(code("case_status", "open")).alias("status"), at.alias("created_at_ms"), F.lit("{}").alias("metadata_json")),
+        "audit_events": audit(made.withColumn("case_id", F.col("id")), "case.create", F.col("id"), at, F.col("actor")),
+        "refused": requests.where(~ok).withColumn("reason", F.lit(code("failure", "invalid_input"))),
+    }
 
 
 def dispositions(deliveries: DataFrame, existing: DataFrame | None = None) -> DataFrame:

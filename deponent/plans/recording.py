@@ -328,6 +328,26 @@ UNION ALL SELECT question_id, CAST(claim_id AS varchar), NULL, used.evidence FRO
 """
 
 
+def q_evaluation_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Each evaluation's inputs and their evidence, down to the bytes."""
+    docs, cases = _documents(spark, d)
+    used = rules.inputs(docs.where("current_state = 'verified'"), _RULES)
+    of = docs.withColumn("artifact_version_id", F.col("provenance_id"))
+    return A.evaluation_lineage(_evaluated(docs, cases), used, of, table(spark, d, "artifact_versions")).drop("provenance_id")
+
+
+def q_claims_list(spark: SparkSession, d: str) -> DataFrame:
+    """All claims in the order of the lists of a case."""
+    c = _claims(spark, d).select("case_id", F.col("claim_id").alias("id"), "predicate", "created_at_ms")
+    return c.orderBy("case_id", "created_at_ms", "id")
+
+
+def q_checked_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' texts taken as questions: which can be asked."""
+    good, bad = A.check_questions(table(spark, d, "documents").select("doc_id", F.col("text").alias("question")))
+    return good.select("doc_id", F.lit("accepted").alias("outcome")).unionByName(bad.select("doc_id", F.col("reason").alias("outcome")))
+
+
 def _order_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Each order as an artifact; its key decides in which of ten forms, seven of them faulty."""
     o = table(spark, d, "orders")
@@ -484,6 +504,9 @@ SQL = {
     "q_grounded_answer": _ANSWER,
     "q_query": _QUERY,
     "q_citations": _CITATIONS,
+    "q_evaluation_lineage": f"WITH {_SQL_RULES}, bytes AS (SELECT DISTINCT id, content_sha256 FROM artifact_versions WHERE id IS NOT NULL) SELECT evaluation_id, rule_id, CAST(claim_id AS varchar) AS claim_id, evidence_id, artifact_version_id, content_sha256 FROM evals JOIN used USING (case_id, rule_id) JOIN edges USING (claim_id) JOIN docs USING (claim_id) LEFT JOIN bytes ON artifact_version_id = bytes.id",
+    "q_claims_list": f"WITH {_SQL_CLAIMS} SELECT case_id, claim_id AS id, predicate, created_at_ms FROM claims",
+    "q_checked_questions": r"SELECT doc_id, CASE WHEN text IS NULL OR regexp_replace(text, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g') = '' OR strlen(text) > 2000 THEN 'invalid_input' ELSE 'accepted' END AS outcome FROM documents",
     "q_extract": _EXTRACT,
     "q_extract_failures": _EXTRACT_FAILURES,
     "q_decode": "SELECT doc_id AS artifact_id, CASE WHEN text IS NULL THEN 'unreadable_artifact' WHEN doc_id % 7 = 0 THEN 'malformed_input' ELSE 'same' END AS outcome FROM documents",

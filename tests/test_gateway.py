@@ -59,8 +59,10 @@ def test_policy_and_failures(spark):
 
 
 def test_cases(spark):
-    made, refused = create_cases(spark.createDataFrame([("Lease", "me"), ("", "me"), ("x" * 301, "me"), ("a\tb", "me")], "title string, actor string"), 5)
-    assert rows(made, "title", "status", "created_at_ms") == [("Lease", "open", 5)] and refused.count() == 3
+    made = create_cases(spark.createDataFrame([("Lease", "me"), ("", "me"), ("x" * 301, "me"), ("a\tb", "me")], "title string, actor string"), 5)
+    assert rows(made["cases"], "title", "status", "created_at_ms") == [("Lease", "open", 5)] and rows(made["refused"], "reason") == [("invalid_input",)] * 3
+    event = made["audit_events"].first()
+    assert (event["operation"], event["target_id"], event["case_id"], event["actor"]) == ("case.create", *[made["cases"].first()["id"]] * 2, "me")
 
 
 def test_tsv(spark, tmp_path):

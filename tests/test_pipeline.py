@@ -1,7 +1,13 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from deponent.operators import answers, rules, state
-from deponent.operators.pipeline import ingest_claims
+from deponent import diagnostics
+from deponent.operators.pipeline import file_requests, ingest_claims
+from deponent.sources.ledger import Ledger
+from deponent.sources.repository import Repository, as_json, ordered
 from tests.conftest import rows
 from tests.test_evidence import RULE, TRUE
 
@@ -34,7 +40,7 @@ def test_bytes_become_claims(spark):
     current = state.current_claims(claims, made["claim_state_changes"])
     assert rows(current, "case_id", "predicate", "original_value", "current_state") == [("c", "amount", "5", "contradicted"), ("c", "amount", "6", "contradicted"), ("c", "name", "Ann", "extracted"), ("d", "amount", "5", "extracted")]
     assert made["contradictions"].count() == 1 and rows(made["evidence_edges"].groupBy("relationship").count()) == [("contradicts", 2), ("supported_by", 4)]
-    assert rows(made["audit_events"].groupBy("operation").count()) == [("artifact.ingest", 3), ("artifact.version", 1), ("claim.record", 4)]
+    assert rows(made["audit_events"].groupBy("operation").count()) == [("artifact.duplicate", 1), ("artifact.ingest", 3), ("artifact.version", 1), ("claim.record", 4)]
     assert made["provenance_records"].where("artifact_version_id is null or extraction_method <> 'deterministic'").count() == 0
     assert run(spark)["claims"].count() == 0
 
@@ -60,3 +66,56 @@ def test_the_later_reviewed_value_wins_while_the_contradiction_stays(spark):
     edges = first["evidence_edges"].unionByName(second["evidence_edges"]).where("from_kind = 'claim'")
     grounded = answers.grounded_claims(prior.unionByName(more), whole, edges)
     assert rows(grounded.select(F.size("evidence_ids"))) == [(1,)] * 6
+
+
+def test_files_become_claims_and_are_found_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("name: Ann\n")
+    (tmp_path / "in" / "b.json").write_text('{"name":"Bo"}')
+    (tmp_path / "in" / "c.png").write_bytes(b"\x89")
+    made = ingest_claims(file_requests(spark, str(tmp_path / "in"), "c"), spark.createDataFrame([("c",)], "id string"), at_ms=5, actor="me", connector="filesystem")
+    assert rows(made["failures"], "reason") == [("unsupported_format",)] and made["artifact_versions"].count() == 3
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    kept = {k: made[k] for k in ("claims", "artifact_versions", "audit_events")}
+    ledger.append("b", kept)
+    ledger.append("again", kept)
+    r = Repository(ledger)
+    listed = r.of_case("claims", "c").collect()
+    assert [x["id"] for x in listed] == sorted(x["id"] for x in listed) and {x["original_value"] for x in listed} == {"Ann", "Bo"}
+    assert r.get("claims", id=listed[0]["id"]).count() == 1 and r.get("claims", id="none").count() == r.of_case("claims", "none").count() == 0
+    assert r.get("artifact_versions", case_id="c", original_filename="b.json").count() == 1 and r.table("audit_events").count() == 5
+    with pytest.raises(ValueError):
+        r.get("facts", id="x")
+    found = json.loads(as_json(r.get("claims", predicate="name", original_value="Bo")).first()["json"])
+    assert found["original_value"] == "Bo" and found["subject_key"] == "document"
+    v = spark.createDataFrame([(2, "b"), (1, "b"), (1, "a")], "version_number int, id string")
+    assert [tuple(x) for x in ordered(v, "artifact_versions").collect()] == [(1, "a"), (1, "b"), (2, "b")]
+
+
+def test_questions_have_bounds(spark):
+    q = spark.createDataFrame([("a", "x" * 2000), ("b", "é" * 1001), ("c", " \u00a0"), ("d", None)], "question_id string, question string")
+    good, bad = answers.check_questions(q)
+    assert rows(good, "question_id") == [("a",)] and rows(bad, "question_id", "reason") == [(k, "invalid_input") for k in "bcd"]
+
+
+def test_lineage_of_an_evaluation(spark):
+    used = spark.createDataFrame([("c", "r", "1", ["e1", "e2"]), ("c", "r", "2", []), ("d", "r", "1", ["e1"])], "case_id string, rule_id string, claim_id string, evidence_ids array<string>")
+    e = spark.createDataFrame([("x", "c", "r")], "evaluation_id string, case_id string, rule_id string")
+    c = spark.createDataFrame([(1, "p1", "v1"), (1, "p1", "v1"), (2, None, None)], "claim_id bigint, provenance_id string, artifact_version_id string")
+    v = spark.createDataFrame([("v1", "s"), ("v1", "s"), (None, "t")], "id string, content_sha256 string")
+    assert rows(answers.evaluation_lineage(e, used, c, v)) == [("x", "r", "1", "e1", "p1", "v1", "s"), ("x", "r", "1", "e2", "p1", "v1", "s"), ("x", "r", "2", None, None, None, None)]
+
+
+def test_diagnostics_tell_no_content():
+    lines = []
+    with diagnostics.stage("extract", "corr_1", "version_1", lines.append):
+        pass
+    with diagnostics.stage("extract", "corr_1", emit=lines.append) as warnings:
+        warnings.append("secret")
+    with pytest.raises(ValueError), diagnostics.stage("extract", "corr_1", emit=lines.append):
+        raise ValueError("secret")
+    events = [json.loads(x) for x in lines]
+    assert [x["outcome"] for x in events] == ["started", "completed", "started", "completed_with_warnings", "started", "failed"]
+    assert events[-1]["failure_kind"] == "ValueError" and events[1]["target_id"] == "version_1" and "secret" not in "".join(lines)
+    with pytest.raises(ValueError):
+        diagnostics.event_line("s", "c", "done")
