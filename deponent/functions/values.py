@@ -46,30 +46,34 @@ def _fits(body: Column) -> Column:
     return body.rlike(_DECIMAL) & (_scale(body) <= MAX_SCALE) & _coefficient(body).isNotNull()
 
 
+def kind_of_trimmed(t: Column) -> Column:
+    """``kind`` of a text without white space at its ends, which is best a column or bound already."""
+    low = ascii_lower(t)
+    plain = F.when(t.rlike(r"^[+-]?[0-9]+$") & t.try_cast("bigint").isNotNull(), "integer").when(t.rlike(_DECIMAL), F.when(_fits(t), "decimal").otherwise("error"))
+    return F.when(
+        t.isNotNull(),
+        F.when(low.isin("null", "unknown"), "unknown")
+        .when(low.isin("true", "false"), "boolean")
+        .when(iso_date(t).isNotNull(), "date")
+        .when(t.startswith("$"), F.when(_fits(_money_body(t)), "money").otherwise("error"))
+        # only what begins like a number can be one
+        .when(t.rlike("^[-+]?[0-9]"), F.coalesce(plain, F.lit("text")))
+        .otherwise("text"),
+    )
+
+
 def kind(c: Column) -> Column:
     """First rung of the ladder that takes the trimmed text; ``error`` for a text that begins as
     money or is written as a decimal but can't be one (no point, more than 18 digits after it,
     outside 64 bits). Null for null."""
-    def ladder(t: Column) -> Column:
-        low = ascii_lower(t)
-        plain = F.when(t.rlike(r"^[+-]?[0-9]+$") & t.try_cast("bigint").isNotNull(), "integer").when(t.rlike(_DECIMAL), F.when(_fits(t), "decimal").otherwise("error"))
-        return (
-            F.when(low.isin("null", "unknown"), "unknown")
-            .when(low.isin("true", "false"), "boolean")
-            .when(iso_date(t).isNotNull(), "date")
-            .when(t.startswith("$"), F.when(_fits(_money_body(t)), "money").otherwise("error"))
-            # only what begins like a number can be one
-            .when(t.rlike("^[-+]?[0-9]"), F.coalesce(plain, F.lit("text")))
-            .otherwise("text")
-        )
-
     # a one-element array binds the trimmed text, so it is made once
-    return F.when(c.isNotNull(), F.transform(F.array(trim_ws(c)), ladder)[0])
+    return F.transform(F.array(trim_ws(c)), kind_of_trimmed)[0]
 
 
 def with_value(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with kind and normalized_value of a text column; each text is classified once."""
-    return df.withColumn("kind", kind(F.col(column))).withColumn("normalized_value", normalized(F.col(column), F.col("kind")))
+    """``df`` with kind and normalized_value of a text column; each text is trimmed and classified once."""
+    ready = df.withColumn("_trimmed", trim_ws(F.col(column))).withColumn("kind", kind_of_trimmed(F.col("_trimmed")))
+    return ready.withColumn("normalized_value", normalized(F.col(column), F.col("kind"), F.col("_trimmed"))).drop("_trimmed")
 
 
 def _known(type_: str, value: Column) -> Column:
@@ -80,10 +84,10 @@ def _decimal_json(body: Column) -> Column:
     return F.concat(F.lit('{"coefficient":'), _coefficient(body).cast("string"), F.lit(',"scale":'), _scale(body).cast("string"), F.lit("}"))
 
 
-def normalized(c: Column, k: Column | None = None) -> Column:
+def normalized(c: Column, k: Column | None = None, t: Column | None = None) -> Column:
     """Canonical JSON of the value that a text holds, null for null and ``error`` texts. Text keeps
-    its padding. ``k`` is its kind, where that is a column already."""
-    t, k = trim_ws(c), kind(c) if k is None else k
+    its padding. ``k`` is its kind and ``t`` the trimmed text, where these are columns already."""
+    t, k = trim_ws(c) if t is None else t, kind(c) if k is None else k
     day = F.concat(F.lit('{"year":'), F.substring(t, 1, 4).cast("int"), F.lit(',"month":'), F.substring(t, 6, 2).cast("int"), F.lit(',"day":'), F.substring(t, 9, 2).cast("int"), F.lit("}"))
     return (
         F.when(k == "unknown", F.lit('{"knowledge":"unknown"}'))

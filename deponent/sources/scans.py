@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deponent.functions.values import classify, kind, media_type_of, normalized, sha256_hex, valid_text
+from deponent.functions.text import trim_ws
+from deponent.functions.values import classify, kind_of_trimmed, media_type_of, normalized, sha256_hex, valid_text, with_value
 
 #: Fixed value: default limit of an artifact's size.
 MAX_BYTES = 26_214_400
@@ -259,23 +260,27 @@ class Extraction:
         return self.outcomes.where("reason is not null").select("artifact_id", "reason")
 
 
-def temporal(value: Column, k: Column) -> Column:
-    """The temporal value of a text of kind date: (kind, date, original), null for other kinds."""
-    day = F.when(k == "date", F.try_to_date(F.trim(value), "yyyy-MM-dd"))
+def temporal(value: Column, t: Column, k: Column) -> Column:
+    """The temporal value of a text (``t`` trimmed) of kind date: (kind, date, original), null for other kinds."""
+    day = F.when(k == "date", F.try_to_date(t, "yyyy-MM-dd"))
     return F.when(k == "date", F.struct(F.lit("exact_date").alias("kind"), day.alias("date"), value.alias("original")))
 
 
 def _typed(field: Column) -> Column:
-    """A field with kind, normalized_value and temporal."""
+    """A field with kind, normalized_value and temporal. One-element arrays bind the trimmed text and the
+    kind, which are used many times."""
     value = field["original_value"]
-    with_kind = F.transform(F.array(kind(value)), lambda k: F.struct(*(field[c].alias(c) for c in FIELDS), k.alias("kind"), normalized(value, k).alias("normalized_value"), temporal(value, k).alias("temporal")))
-    return with_kind[0]
+
+    def with_kind(t: Column, k: Column) -> Column:
+        return F.struct(*(field[c].alias(c) for c in FIELDS), k.alias("kind"), normalized(value, k, t).alias("normalized_value"), temporal(value, t, k).alias("temporal"))
+
+    return F.transform(F.array(trim_ws(value)), lambda t: F.transform(F.array(kind_of_trimmed(t)), lambda k: with_kind(t, k))[0])[0]
 
 
 def typed_fields(fields: DataFrame) -> DataFrame:
     """Fields with kind, canonical JSON and temporal value of their text."""
-    given = [c for c in fields.columns if c not in FIELDS]
-    return fields.select(*given, _typed(F.struct(*FIELDS)).alias("_f")).select(*given, "_f.*")
+    typed = with_value(fields.withColumn("_t", trim_ws(F.col("original_value"))), "original_value")
+    return typed.withColumn("temporal", temporal(F.col("original_value"), F.col("_t"), F.col("kind"))).drop("_t")
 
 
 def extract(artifacts: DataFrame, readers: dict[str, Reader] | None = None, max_bytes: int = MAX_BYTES) -> Extraction:
