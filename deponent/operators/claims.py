@@ -70,8 +70,8 @@ def value_classes(claims: DataFrame) -> DataFrame:
 
 def claim_links(claims: DataFrame) -> DataFrame:
     """One row a known claim: claim_id, class_id, n_corroborates (other claims of its class) and
-    n_contradicts (claims of the group's other classes)."""
-    classes = value_classes(claims)
+    n_contradicts (claims of the group's other classes). Classes are made once and written."""
+    classes = materialize(value_classes(claims), "link-classes")
     groups = classes.groupBy(*GROUP).agg(F.sum("members").alias("in_group"))
     sized = classes.join(groups, GROUP)
     return known_claims(claims).select("claim_id", *GROUP, "normalized_value").join(sized, [*GROUP, "normalized_value"]).select("claim_id", "class_id", (F.col("members") - 1).alias("n_corroborates"), (F.col("in_group") - F.col("members")).alias("n_contradicts"))
@@ -79,8 +79,9 @@ def claim_links(claims: DataFrame) -> DataFrame:
 
 def contradictions(claims: DataFrame) -> DataFrame:
     """Contradicting classes of a group, once each, the smaller class id first: (contradiction_id,
-    class_a, class_b). Groups of a single value are left out before the join."""
-    classes = value_classes(claims)
+    class_a, class_b). Classes are made once and written, so that no later step meets single claims;
+    groups of a single value are left out before the join."""
+    classes = materialize(value_classes(claims), "contradiction-classes")
     mixed = classes.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*GROUP)
     c = classes.join(mixed, GROUP, "left_semi").select(*GROUP, "class_id")
     pairs = c.withColumnRenamed("class_id", "class_a").join(c.withColumnRenamed("class_id", "class_b"), GROUP).where("class_a < class_b")
