@@ -49,24 +49,29 @@ def extend_dictionary(wanted: DataFrame, path: str) -> DataFrame:
     and append them; return the entries of ``wanted`` with this input's row counts. A run that is
     cut short appends nothing; a repeated run parses nothing."""
     old = _known(wanted, path)
-    if old is None:
-        wanted.mapInArrow(_parse, _ENTRY).write.mode("append").parquet(path)
-        return wanted.sparkSession.read.schema(_ENTRY).parquet(path)
-    new = wanted.join(old.select(*_KEY), _KEY, "left_anti")
-    new.mapInArrow(_parse, _ENTRY).write.mode("append").parquet(path)
+    new = wanted if old is None else wanted.join(old.select(*_KEY), _KEY, "left_anti")
+    new.select(*_KEY, "n").mapInArrow(_parse, _ENTRY).write.mode("append").parquet(path)
+    return _entries(wanted, path)
+
+
+def _entries(wanted: DataFrame, path: str) -> DataFrame:
     entries = wanted.sparkSession.read.schema(_ENTRY).parquet(path).select(*_KEY, "normalized")
     return entries.join(wanted, _KEY).select(*_KEY, "n", "normalized")
 
 
-def normalise(rows: DataFrame, dictionary: str | None = None) -> DataFrame:
+def normalise(rows: DataFrame, dictionary: str | None = None, one_by_one: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` (table_name, record_key, raw, zone, date_order) to (table_name, record_key,
     normalized), one row for each resolvable value.
 
+    The dictionary, at the path ``dictionary`` where it is kept for later runs, grows by the values of
+    all tables at once, or first of those ``one_by_one``, each parsing only what the ones before it
+    lacked. Values are counted once and looked up once, whatever the steps.
+
     Defined results: null, empty and digitless texts and prose of any length are not resolvable, white
-    space of any length counts as one space; a null zone means no zone known, a null date order leaves numeric dates
-    unresolvable; repeated rows come out once; an empty table gives no rows. A hot value (at most
-    1000 can be) is looked up by a broadcast of at most 1000 short entries and its rows are spread by
-    record key, so no value gathers its rows in one task."""
+    space of any length counts as one space; a null zone means no zone known, a null date order leaves
+    numeric dates unresolvable; repeated rows come out once; an empty table gives no rows. A hot value
+    (at most 1000 can be) is looked up by a broadcast of at most 1000 short entries and its rows are
+    spread by record key, so no value gathers its rows in one task."""
     spark = rows.sparkSession
     raw = F.regexp_replace(trim_ws(F.col("raw")), r"(?U)[\s\x1c-\x1f]+", " ")
     cleaned = rows.select(
@@ -77,11 +82,15 @@ def normalise(rows: DataFrame, dictionary: str | None = None) -> DataFrame:
         F.coalesce("date_order", F.lit("")).alias("date_order"),
     ).where(F.col("raw").rlike(BEGINNING))
     kept = materialize(cleaned, "instant-rows")
-    wanted = kept.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    values = materialize(kept.groupBy("table_name", *_KEY).agg(F.count(F.lit(1)).alias("n")), "instant-values")
     path = dictionary or scratch_path(spark, "instant-dictionary")
-    entries = extend_dictionary(wanted, path)
-    if dictionary:
-        entries = materialize(entries, "instant-entries")
+    for name in one_by_one:
+        extend_dictionary(values.where(F.col("table_name") == name), path)
+    wanted = values.groupBy(*_KEY).agg(F.sum("n").alias("n"))
+    rest = values.where(~F.coalesce(F.col("table_name").isin(*one_by_one), F.lit(False))) if one_by_one else values
+    if not one_by_one or not rest.isEmpty():
+        extend_dictionary(rest.groupBy(*_KEY).agg(F.sum("n").alias("n")), path)
+    entries = materialize(_entries(wanted, path), "instant-entries")
     total = entries.agg(F.sum("n")).first()[0] or 0
     good = entries.where("normalized is not null")
     hot = good.where(F.col("n") > total * HOT).select(*_KEY, F.col("normalized").alias("hot_value"))

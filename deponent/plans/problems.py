@@ -12,7 +12,7 @@ from deponent.operators.history import History, version_updates
 from deponent.operators.instants import connector_of_versions, normalise
 from deponent.operators.rejects import split_records
 from deponent.operators.wide import as_text, melted, wide_table
-from deponent.session import materialize, scratch_path
+from deponent.session import materialize
 from deponent.sources.tables import table
 
 
@@ -37,9 +37,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
         return known.select(F.lit(name).alias("table_name"), F.col("k").cast("string").alias("record_key"), "raw", "zone", "date_order")
 
     own = of.where("received_at is not null").select(F.lit("artifact_versions").alias("table_name"), F.col("version_id").alias("record_key"), F.col("received_at").alias("raw"), "zone", "date_order")
-    path = scratch_path(spark, "instant-dictionary")  # each column parses only what the ones before it lacked
-    columns = (own, rows("simple_records", records), rows("extracted_fields", claims.join(holds, "_p", "left_semi").drop("_p")))
-    return reduce(DataFrame.unionByName, [normalise(c, path) for c in columns])
+    columns = {"artifact_versions": own, "simple_records": rows("simple_records", records), "extracted_fields": rows("extracted_fields", claims.join(holds, "_p", "left_semi").drop("_p"))}
+    return normalise(reduce(DataFrame.unionByName, columns.values()), one_by_one=tuple(columns))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
