@@ -95,10 +95,11 @@ class History:
     def _split(self, events: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Events of ordinary keys, and those of hot keys with their chunk."""
         events = materialize(events, "history-events")
-        hot = materialize(events.groupBy(*self.keys).count().where(F.col("count") > self.hot_events), "history-hot")
-        total = hot.agg(F.sum("count")).first()[0]
-        if not total:
+        counted = events.groupBy(*self.keys).count()
+        if (counted.agg(F.max("count")).first()[0] or 0) <= self.hot_events:
             return events, None
+        hot = materialize(counted.where(F.col("count") > self.hot_events), "history-hot")
+        total = hot.agg(F.sum("count")).first()[0]
         chunks = 1 + int(2 * total // self.hot_events)
         ranged = events.join(hot, self.keys, "left_semi").repartitionByRange(chunks, *self.keys, "at").withColumn("chunk", F.spark_partition_id())
         return events.join(hot, self.keys, "left_anti"), materialize(ranged, "history-chunks")
