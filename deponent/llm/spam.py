@@ -14,7 +14,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,8 +31,8 @@ SENTENCE_WORDS, LONG_WORDS, LONGEST_SENTENCE = 5, 9, 30
 LIST_PIECES = 4
 #: Shapes that can dominate a page together.
 FEW_SHAPES = 5
-#: A sentence that comes fewer times than this in a post is measured once.
-REPEATED_SENTENCE = 8
+#: In a post with fewer pieces than this that it has already, each sentence is measured once.
+REPEATED_PIECES = 8
 #: Words that variety is measured over, and the least part of them that are distinct in running
 #: words and in sentences that end as such.
 CHUNK, DISTINCT, DISTINCT_PROSE = 24, 0.5, 0.4
@@ -355,7 +354,7 @@ def _poor(words: list[str], least: float) -> list[int]:
 def _stale(found: list[Piece], prose: list[bool]) -> list[bool]:
     """Of each piece, whether most of its words lie in stretches of CHUNK words that use fewer
     distinct ones than running words, or are single letters. A stretch is looked for among the words
-    of pieces that are no prose and among all words, of a sentence that comes again only once."""
+    of pieces that are no prose and among all words, where few pieces come again each sentence only once."""
     poor = [0.0] * len(found)
     long = [[] if is_prose else [w for w in p.words if len(w) > 1 or not w.isalpha() or _WIDE.match(w)] for p, is_prose in zip(found, prose)]
     if starts := _poor([w for words in long for w in words], DISTINCT):
@@ -364,14 +363,14 @@ def _stale(found: list[Piece], prose: list[bool]) -> list[bool]:
             for i in owner[at : at + CHUNK]:
                 poor[i] += 1
     if _poor([w for p in found for w in p.words], DISTINCT_PROSE):
-        times = Counter(" ".join(p.words) for p, is_prose in zip(found, prose) if is_prose)
+        written = [" ".join(p.words) for p in found]
+        once = len(written) - len(set(written)) < REPEATED_PIECES
         words, owner, met = [], [], set()
         for i, p in enumerate(found):
-            sentence = " ".join(p.words) if prose[i] else ""
-            if sentence and times[sentence] < REPEATED_SENTENCE:
-                if sentence in met:
+            if once and prose[i]:
+                if written[i] in met:
                     continue
-                met.add(sentence)
+                met.add(written[i])
             words += p.words
             owner += [i] * len(p.words)
         seen = [0] * len(found)

@@ -187,6 +187,8 @@ def test_few_shapes_dominate():
 def test_repeated_sentences_are_sentences():
     again = "Could you post a picture of the pump, please? " * 3
     assert not is_spam(again) and is_spam("Pump cheap free shipping online now. " * 40)
+    assert is_spam(" ".join(f"Buy your {w} online cheap now." for w in WORDS[:3] for _ in range(5)))
+    assert is_spam("Valve! Quartz sample cheap free shipping! Heater! " * 5)
 
 
 def test_profile_counts_shapes_over_all_posts(spark):
