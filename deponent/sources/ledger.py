@@ -42,6 +42,7 @@ class Migration(NamedTuple):
 class Ledger:
     def __init__(self, spark: SparkSession, root: str, migrations: tuple[Migration, ...] = ()):
         self.spark, self.root, self.migrations = spark, root.rstrip("/"), migrations
+        self._schemas: dict[str, str] = {}
         if [m.version for m in migrations] != list(range(SCHEMA_VERSION + 1, SCHEMA_VERSION + 1 + len(migrations))):
             raise ValueError("migrations have consecutive versions, in order")
         jvm = spark.sparkContext._jvm
@@ -58,17 +59,23 @@ class Ledger:
         return [json.loads(r[0]) for r in rows]
 
     def _put(self, folder: str, name: str, content: dict) -> bool:
-        """Write a JSON file whole or not at all; False if it is there already."""
-        draft = self._path(f"{self.root}/{folder}/.{name}-{uuid.uuid4().hex[:8]}")
+        """Write a JSON file whole or not at all; False if it is there already. Some file systems let a
+        rename replace a file, so its place is looked at first."""
+        place, draft = (self._path(f"{self.root}/{folder}/{n}") for n in (f"{name}.json", f".{name}-{uuid.uuid4().hex[:8]}"))
+        if self._fs.exists(place):
+            return False
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        return bool(self._fs.rename(draft, self._path(f"{self.root}/{folder}/{name}.json")))
+        if self._fs.rename(draft, place):
+            return True
+        self._fs.delete(draft, False)
+        return False
 
     def schema_version(self) -> int:
         """The version that the ledger has. Refuses one with migrations that this engine doesn't know, or
         knows otherwise."""
-        applied = sorted(self._files("_schema"), key=lambda a: a["version"])
+        applied = sorted(self._files("_migrations"), key=lambda a: a["version"])
         known = {m.version: m.checksum for m in self.migrations}
         for n, a in enumerate(applied, SCHEMA_VERSION + 1):
             if a["version"] != n or known.get(n) != a["checksum"]:
@@ -78,7 +85,7 @@ class Ledger:
     def migrate(self) -> list[int]:
         """Apply the migrations that are due, in order; the versions that were."""
         due = self.migrations[self.schema_version() - SCHEMA_VERSION :]
-        return [m.version for m in due if self._put("_schema", f"{m.version:06d}", {"version": m.version, "name": m.name, "checksum": m.checksum})]
+        return [m.version for m in due if self._put("_migrations", f"{m.version:06d}", {"version": m.version, "name": m.name, "checksum": m.checksum})]
 
     def _manifests(self) -> list[dict]:
         found = sorted(self._files("_manifests"), key=lambda m: m["batch"])
@@ -87,11 +94,17 @@ class Ledger:
             raise ValueError(f"ledger of schema version {newest}, this engine knows {self.schema_version()}")
         return found
 
+    def _schema(self, checksum: str) -> T.StructType:
+        """A schema by its checksum: each is kept once, however many batches have it."""
+        if checksum not in self._schemas:
+            self._schemas.update((f["checksum"], f["schema"]) for f in self._files("_schemas"))
+        return T.StructType.fromJson(json.loads(self._schemas[checksum]))
+
     def _grown(self, manifest: dict, name: str) -> T.StructType | None:
         """The columns that a batch's table has by now."""
         if name not in manifest["tables"]:
             return None
-        schema = T.StructType.fromJson(json.loads(manifest["tables"][name]["schema"]))
+        schema = self._schema(manifest["tables"][name]["checksum"])
         for m in self.migrations[manifest["schema_version"] - SCHEMA_VERSION :]:
             for column, kind in m.added if m.table == name else ():
                 schema = schema.add(T.StructType.fromDDL(f"`{column}` {kind}")[0])
@@ -109,15 +122,21 @@ class Ledger:
         manifests = self._manifests()
         if batch in (m["batch"] for m in manifests):
             return False
+        checksums = {n: schema_checksum(df.schema) for n, df in tables.items()}
+        grown: dict[tuple, str] = {}
         for m in manifests:
-            for name, df in tables.items():
-                had = self._grown(m, name)
-                if had is not None and schema_checksum(had) != schema_checksum(df.schema):
+            for name in tables.keys() & m["tables"].keys():
+                key = (name, m["tables"][name]["checksum"], m["schema_version"])
+                if key not in grown:
+                    grown[key] = schema_checksum(self._grown(m, name))
+                if grown[key] != checksums[name]:
                     raise ValueError(f"columns of {name} differ from batch {m['batch']}")
         folder = f"{self.root}/batches/{batch}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{folder}/{name}")
-        written = {n: {"path": f"{folder}/{n}", "schema": df.schema.json()} for n, df in tables.items()}
+            if checksums[name] not in self._schemas:
+                self._put("_schemas", checksums[name], {"checksum": checksums[name], "schema": df.schema.json()})
+        written = {n: {"path": f"{folder}/{n}", "checksum": checksums[n]} for n in tables}
         return self._put("_manifests", batch, {"batch": batch, "schema_version": version, "tables": written})
 
     def read(self, name: str) -> DataFrame | None:
