@@ -184,6 +184,18 @@ def test_corrections(spark):
     assert rows(refused["refused"]) == [(1, "invalid_input"), (2, "invalid_input"), (9, "not_found")] and refused["claims"].count() == 0
 
 
+def test_corrections_meet_their_claims_once(spark):
+    c = frame(spark, [(i, "s", "p", str(i)) for i in range(9)])
+    edges = c.select(F.col("claim_id").alias("from_id"), F.lit("supported_by").alias("relationship"), F.col("normalized_value").alias("to_id"))
+    rests = c.select(F.col("normalized_value").alias("evidence_id"), F.lit("v").alias("evaluation_id"))
+    fix = spark.range(5, 12).select(F.col("id").alias("claim_id"), F.lit("8").alias("corrected_text"), F.lit(known(8)).alias("corrected_value"), F.lit("me").alias("actor"), F.lit(7).cast("bigint").alias("corrected_at_ms"))
+    for kind, df in state.correct(fix, c, edges, rests).items():
+        assert len(df.collect()) == {"claim_state_changes": 8, "refused": 3}.get(kind, 4)
+        plan = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == (2 if kind == "affected" else 0)
+        assert kind == "affected" or "Exchange" not in plan
+
+
 TRUE = '{"knowledge":"known","value":{"type":"boolean","value":true}}'
 FALSE = TRUE.replace("true", "false")
 
